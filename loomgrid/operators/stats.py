@@ -48,10 +48,16 @@ def frame(spec: SeriesSpec, first: int, last: int):
     )
 
 
-def trailing_stats(spec: SeriesSpec, settings: Settings) -> dict[str, Column]:
-    """Raw window expressions over halo'd block partials."""
-    trail = frame(spec, -(settings.stats_blocks - 1), 0)
-    recent = frame(spec, -(settings.input_blocks - 1), 0)
+def trailing_stats(
+    spec: SeriesSpec, settings: Settings, ending: int = 0
+) -> dict[str, Column]:
+    """Raw window sums over block partials that carry their halo.
+
+    ``ending`` is the last block of the windows relative to the current one; -1
+    gives the statistics frozen one block earlier.
+    """
+    trail = frame(spec, ending - settings.stats_blocks + 1, ending)
+    recent = frame(spec, ending - settings.input_blocks + 1, ending)
     # deviations from the chunk mean (see with_pivot), so the squares stay small
     shift = F.when(F.col("n") > 0, F.col("s") / F.col("n")) - F.col("pivot")
     return {
