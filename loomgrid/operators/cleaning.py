@@ -29,7 +29,7 @@ def first_observed(
 ) -> DataFrame:
     """Observed rows, one per (series, time): the first one in ``order`` wins."""
     keys = [*spec.keys, by]
-    rest = [c for c in rows.columns if c not in keys and c not in order]
+    rest = [c for c in rows.columns if c not in keys]
     kept = F.min_by(F.struct(*rest), F.struct(*order)).alias("kept")
     observed = rows.where(F.col("quality").isin(list(OBSERVED)))
     return observed.groupBy(*keys).agg(kept).select(*keys, "kept.*")

@@ -195,6 +195,13 @@ def forecast_table(answers: DataFrame, run_at: Column | None = None) -> DataFram
     ).select(*FORECAST_COLUMNS)
 
 
+def replace_targets(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored forecasts with those of the freshly forecast days replaced."""
+    days = fresh.select("target_date").distinct()
+    kept = stored.join(days, "target_date", "left_anti")
+    return kept.unionByName(fresh)
+
+
 def score_published(
     forecasts: DataFrame,
     silver: DataFrame,

@@ -82,7 +82,7 @@ def clean_catalog(raw: DataFrame, version: str) -> DataFrame:
         if c in flags:
             columns[c] = _flag(known)
         elif c in number:
-            columns[c] = F.expr(f"try_cast(trim({c}) AS double)").cast(number[c])
+            columns[c] = F.trim(known).try_cast("double").cast(number[c])
         else:
             columns[c] = F.trim(F.coalesce(known, F.lit("")))
     region = F.col("region")
@@ -238,7 +238,7 @@ def level_pivot(selected: DataFrame, levels: list[float]) -> DataFrame:
         .pivot("kv", levels)
         .agg(F.count(F.lit(1)))
         .na.fill(0)
-        .withColumn("total", sum((F.col(str(v)) for v in levels), F.lit(0)))
+        .withColumn("total", sum((F.col(f"`{v}`") for v in levels), F.lit(0)))
     )
 
 
@@ -262,7 +262,7 @@ def nodes_per_zone(selected: DataFrame) -> DataFrame:
     return per.orderBy(F.desc("n"), "zone")
 
 
-def sample_nodes(index: DataFrame, n: int = 10, per_region: int = 2) -> DataFrame:
+def sample_nodes(index: DataFrame, n: int = 12, per_region: int = 2) -> DataFrame:
     """Deterministic spread of nodes: the first few of each region, then ``n`` overall."""
     nodes = index.select("node", "region", "kv").distinct()
     order = Window.partitionBy("region").orderBy(F.desc("kv"), "node")

@@ -85,7 +85,6 @@ def merge_observed(
         "priority", F.lit(0)
     ).unionByName(fresh, allowMissingColumns=True)
     unique = first_observed(rows, spec, ["priority", "ingested_at"])
-    # the arrival stamp orders repeats, so it travels as a value as well
     return build_grid(unique, spec, max_interp)
 
 

@@ -48,7 +48,6 @@ def merge_batch(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = first_observed(envelope_rows(batch, spec, tz), spec, ["path"])
-        # the aggregate leaves the order column out and silver fixes the rest
         rows = rows.select(*SILVER_COLUMNS)
         if not rows.isEmpty():
             upsert_silver(batch.sparkSession, silver_path, rows, spec, max_interp, buckets)
