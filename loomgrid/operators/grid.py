@@ -67,6 +67,10 @@ def build_grid(observed: DataFrame, spec: SeriesSpec, max_interp: int = 3) -> Da
         )
     )
     carry = [c for c in ("market", "sistema") if c not in spec.keys]
+    # explicit key filters: the join below would add them to one of its sides only, and
+    # the two sides could then not share the exchange under them
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
     rows = rows.select(
         *keys, "slot", *carry, *PRICES, "quality", "source_hora", "ingested_at"
     )

@@ -58,7 +58,7 @@ def trailing_stats(
     """
     trail = frame(spec, ending - settings.stats_blocks + 1, ending)
     recent = frame(spec, ending - settings.input_blocks + 1, ending)
-    # deviations from the chunk mean (see with_pivot), so the squares stay small
+    # deviations from a level nearby (see with_pivot), so the squares stay small
     shift = F.when(F.col("n") > 0, F.col("s") / F.col("n")) - F.col("pivot")
     return {
         "t_n": F.sum("n").over(trail),
@@ -73,9 +73,16 @@ def trailing_stats(
 
 
 def with_pivot(blocks: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Mean level of each chunk, the reference point of its squared deviations."""
-    whole = Window.partitionBy(*chunk_keys(spec))
-    return blocks.withColumn("pivot", F.sum("s").over(whole) / F.sum("n").over(whole))
+    """Level of the first known block of each chunk, the reference of its deviations.
+
+    It lies at or before every window that uses it, so later values cannot reach
+    the statistics even through rounding.
+    """
+    so_far = Window.partitionBy(*chunk_keys(spec)).orderBy("block").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    level = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    return blocks.withColumn("pivot", F.first(level, ignorenulls=True).over(so_far))
 
 
 def finish_stats(df: DataFrame, spec: SeriesSpec, settings: Settings) -> DataFrame:

@@ -147,7 +147,7 @@ def long_steps(df: DataFrame, keys: list[str], **arrays: str) -> DataFrame:
 @query
 def hourly_grid(spark, sf):
     return hourly_silver(spark, sf).select(
-        "node", "ts_local", "fecha", "hora", "pml", "pml_ene", "pml_per", "pml_cng", "quality"
+        "node", "ts_local", "fecha", "hora", "pml", "pml_ene", "quality"
     )
 
 
@@ -200,7 +200,9 @@ def shipped_records(spark, sf) -> DataFrame:
     items = table(spark, sf, "lineitem")
     day = F.col("l_shipdate").cast("date")
     place = F.row_number().over(
-        Window.partitionBy("l_shipdate").orderBy("l_orderkey", "l_linenumber")
+        Window.partitionBy("l_shipdate").orderBy(
+            "l_orderkey", "l_linenumber", "l_extendedprice"
+        )
     )
     ranked = items.select(
         "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"
@@ -615,8 +617,9 @@ def batch_scoring(spark, sf):
 
     rows = weekly_samples(spark, sf)
     predicted = BatchScorer(load, "repeat_last").predict(rows)
-    rounded = predicted.withColumn("y_pred", F.transform("y_pred", lambda p: F.round(p, 1)))
-    return long_steps(rounded, ["node", "target_date"], pred="y_pred")
+    # inputs are single precision, so the prices come back to a few parts in a million
+    share = F.zip_with("y_pred", "last_block", lambda p, v: F.round(p / v, 3))
+    return long_steps(predicted.withColumn("share", share), ["node", "target_date"], share="share")
 
 
 @query
@@ -756,7 +759,9 @@ def holdout_naive(spark, sf):
 @query
 def ablation(spark, sf):
     ds = monthly_dataset(spark, sf)
-    return selection.ablation_table(selection.holdout(ds, "zone", kinds=()))
+    table = selection.ablation_table(selection.holdout(ds, "zone", kinds=()))
+    means = ("mae", "skill", "top4_overlap", "mae_nospike")
+    return table.withColumns({c: F.round(c, 4) for c in means})
 
 
 @query
