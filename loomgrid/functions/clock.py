@@ -6,38 +6,50 @@ blocks since the anchor and ``hora`` the 1-based step inside its block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.config import SeriesSpec
 
 
-def _long(column: Column) -> Column:
-    return column.cast("bigint")
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
+def require_utc(df: DataFrame) -> None:
+    """Local clocks are kept as zone-less timestamps read against a UTC session."""
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"set spark.sql.session.timeZone to UTC, not {zone}")
+
+
+def _anchor_seconds(spec: SeriesSpec) -> int:
+    day = datetime.date.fromisoformat(spec.anchor)
+    return (day - datetime.date(1970, 1, 1)).days * 86400
 
 
 def slot_of(ts: Column, spec: SeriesSpec) -> Column:
-    """Step number of a local timestamp (independent of the session zone)."""
-    days = F.datediff(ts.cast("date"), F.lit(spec.anchor).cast("date"))
-    seconds = _long(days) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    return _long(F.floor(seconds / spec.step_seconds))
+    """Step number of a local timestamp (needs the UTC session, see ``require_utc``)."""
+    seconds = F.unix_seconds(ts.cast("timestamp"))
+    return F.floor((seconds - _anchor_seconds(spec)) / spec.step_seconds)
 
 
 def slot_in_block(fecha: Column, hora: Column, spec: SeriesSpec) -> Column:
-    return block_of_date(fecha, spec) * spec.steps_per_block + _long(hora) - 1
+    return block_of_date(fecha, spec) * spec.steps_per_block + hora - 1
 
 
 def block_of_slot(slot: Column, spec: SeriesSpec) -> Column:
-    return _long(F.floor(slot / spec.steps_per_block))
+    return F.floor(slot / spec.steps_per_block)
 
 
 def block_of_date(day: Column, spec: SeriesSpec) -> Column:
     days = F.datediff(day, F.lit(spec.anchor).cast("date"))
-    return _long(F.floor(days / spec.block_days))
+    return F.floor(days / spec.block_days)
 
 
 def chunk_of_block(block: Column, spec: SeriesSpec) -> Column:
-    return _long(F.floor(block / spec.chunk_blocks))
+    return F.floor(block / spec.chunk_blocks)
 
 
 def hora_of_slot(slot: Column, spec: SeriesSpec) -> Column:
@@ -49,10 +61,5 @@ def date_of_block(block: Column, spec: SeriesSpec) -> Column:
 
 
 def ts_of_slot(slot: Column, spec: SeriesSpec) -> Column:
-    seconds = slot * spec.step_seconds
-    start = F.date_add(
-        F.lit(spec.anchor).cast("date"), F.floor(seconds / 86400).cast("int")
-    ).cast("timestamp_ntz")
-    return start + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), F.pmod(seconds, F.lit(86400)).cast("decimal(18,6)")
-    )
+    seconds = slot * spec.step_seconds + _anchor_seconds(spec)
+    return F.timestamp_seconds(seconds).cast("timestamp_ntz")

@@ -111,6 +111,7 @@ def records_to_hourly(
     of one hour wins. ``sistema`` and ``market`` fill the columns of that name
     where the records do not carry them.
     """
+    clock.require_utc(records)
     labels = {"sistema": sistema, "market": market}
     typed = records.select(
         *[F.col(k) for k in spec.keys],

@@ -13,36 +13,38 @@ from loomgrid.schemas import SILVER_COLUMNS
 
 def _anchor_summary(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
     """One row per chunk with what its neighbours need to close their edge gaps."""
-    aggregates = [F.min("slot").alias("lo")]
-    for c in PRICES:
-        at = F.when(F.col(c).isNotNull(), F.col("slot"))
-        aggregates += [
-            F.min(at).alias(f"fs_{c}"),
-            F.min_by(c, at).alias(f"fv_{c}"),
-            F.max(at).alias(f"ls_{c}"),
-            F.max_by(c, at).alias(f"lv_{c}"),
-        ]
-    summary = rows.groupBy(*chunk_keys(spec)).agg(*aggregates)
-    along = Window.partitionBy(*spec.keys).orderBy("chunk")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    over = f"OVER (PARTITION BY {', '.join(spec.keys)} ORDER BY chunk)"
-    carried = []
-    for c in PRICES:
-        left = F.when(
-            F.col(f"ls_{c}").isNotNull(),
-            F.struct(F.col(f"ls_{c}").alias("slot"), F.col(f"lv_{c}").alias("v")),
+    keys = ", ".join(spec.keys)
+    per_price = [
+        part
+        for c in PRICES
+        for part in (
+            f"min(IF({c} IS NULL, NULL, slot)) AS fs_{c}",
+            f"min_by({c}, IF({c} IS NULL, NULL, slot)) AS fv_{c}",
+            f"max(IF({c} IS NULL, NULL, slot)) AS ls_{c}",
+            f"max_by({c}, IF({c} IS NULL, NULL, slot)) AS lv_{c}",
         )
-        carried.append(F.last(left, ignorenulls=True).over(earlier).alias(f"cl_{c}"))
-        carried.append(
-            F.expr(
-                f"lead(IF(fs_{c} IS NULL, NULL, named_struct('slot', fs_{c}, 'v', fv_{c})))"
-                f" IGNORE NULLS {over}"
-            ).alias(f"cr_{c}")
+    ]
+    summary = rows.groupBy(*chunk_keys(spec)).agg(
+        F.expr("min(slot) AS lo"), *map(F.expr, per_price)
+    )
+    over = f"OVER (PARTITION BY {keys} ORDER BY chunk)"
+    earlier = (
+        f"OVER (PARTITION BY {keys} ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    carried = [
+        part
+        for c in PRICES
+        for part in (
+            f"last(IF(ls_{c} IS NULL, NULL, struct(ls_{c} AS slot, lv_{c} AS v)), true)"
+            f" {earlier} AS cl_{c}",
+            f"lead(IF(fs_{c} IS NULL, NULL, struct(fs_{c} AS slot, fv_{c} AS v)))"
+            f" IGNORE NULLS {over} AS cr_{c}",
         )
-    return summary.select(
+    ]
+    return summary.selectExpr(
         *chunk_keys(spec),
-        F.lead("lo").over(along).alias("next_lo"),
-        F.lag("lo").over(along).isNull().alias("opens"),
+        f"lead(lo) {over} AS next_lo",
+        f"lag(lo) {over} IS NULL AS opens",
         *carried,
     )
 
@@ -57,78 +59,71 @@ def build_grid(observed: DataFrame, spec: SeriesSpec, max_interp: int = 3) -> Da
     (``missing``). Every observed row emits itself and the gap that follows, so
     no calendar is joined and only chunk summaries travel between chunks.
     """
-    keys = chunk_keys(spec)
+    clock.require_utc(observed)
+    keys, n = chunk_keys(spec), spec.steps_per_block
+    carry = [c for c in ("market", "sistema") if c not in spec.keys]
+    slot = clock.slot_of(F.col("ts_local"), spec)
     rows = (
         observed.where(F.col("quality").isin(list(OBSERVED)))
-        .withColumn("slot", clock.slot_of(F.col("ts_local"), spec))
-        .withColumn(
-            "chunk",
-            clock.chunk_of_block(clock.block_of_slot(F.col("slot"), spec), spec),
-        )
+        .withColumn("slot", slot)
+        .withColumn("chunk", F.floor(F.col("slot") / (n * spec.chunk_blocks)))
+        # explicit key filters: the join below would add them to one of its sides only,
+        # and the two sides could then not share the exchange under them
+        .where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+        .select(*keys, "slot", *carry, *PRICES, "quality", "source_hora", "ingested_at")
     )
-    carry = [c for c in ("market", "sistema") if c not in spec.keys]
-    # explicit key filters: the join below would add them to one of its sides only, and
-    # the two sides could then not share the exchange under them
-    for key in keys:
-        rows = rows.where(F.col(key).isNotNull())
-    rows = rows.select(
-        *keys, "slot", *carry, *PRICES, "quality", "source_hora", "ingested_at"
-    )
-    window = chunk_window(spec)
-    until_here = window.rowsBetween(Window.unboundedPreceding, 0)
     over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY slot)"
-    near = []
-    for c in PRICES:
-        at = F.when(F.col(c).isNotNull(), F.struct("slot", F.col(c).alias("v")))
-        near.append(F.last(at, ignorenulls=True).over(until_here).alias(f"nl_{c}"))
-        near.append(
-            F.expr(
-                f"lead(IF({c} IS NULL, NULL, named_struct('slot', slot, 'v', {c})))"
-                f" IGNORE NULLS {over}"
-            ).alias(f"nr_{c}")
+    so_far = over[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    near = [
+        part
+        for c in PRICES
+        for part in (
+            f"last(IF({c} IS NULL, NULL, struct(slot, {c} AS v)), true) {so_far} AS nl_{c}",
+            f"lead(IF({c} IS NULL, NULL, struct(slot, {c} AS v))) IGNORE NULLS {over} AS nr_{c}",
         )
+    ]
     # shuffle the plain columns; the anchors are derived after the exchange
-    linked = rows.repartition(*keys).select(
+    linked = rows.repartition(*keys).selectExpr(
         "*",
-        F.lead("slot").over(window).alias("next_in"),
-        F.lag("slot").over(window).isNull().alias("leads"),
+        f"floor(slot / {n}) * {n} AS block_start",
+        f"lead(slot) {over} AS next_in",
+        f"lag(slot) {over} IS NULL AS leads",
         *near,
-    ).join(_anchor_summary(rows, spec), keys)
-
-    n = spec.steps_per_block
-    block_start = clock.block_of_slot(F.col("slot"), spec) * n
-    following = F.coalesce("next_in", "next_lo")
-    linked = linked.withColumn("next_slot", following).withColumn(
-        "at",
-        F.explode(
-            F.sequence(
-                F.when(F.col("leads") & F.col("opens"), block_start).otherwise(F.col("slot")),
-                F.coalesce(F.col("next_slot") - 1, block_start + n - 1),
-            )
-        ),
-    )
-    here = F.col("at") == F.col("slot")
-    run = F.col("next_slot") - F.col("slot") - 1
-    filled = {}
-    for c in PRICES:
-        left = F.coalesce(f"nl_{c}", f"cl_{c}")
-        right = F.coalesce(f"nr_{c}", f"cr_{c}")
-        slope = (right["v"] - left["v"]) / (right["slot"] - left["slot"])
-        filled[c] = left["v"] + slope * (F.col("at") - left["slot"])
-    short = (F.col("at") > F.col("slot")) & (run <= max_interp) & filled["pml"].isNotNull()
-    out = linked.select(
+    )
+    linked = linked.join(_anchor_summary(rows, spec), keys)
+    carried = [f"nvl({near}{c}, {far}{c}) AS {side}{c}" for c in PRICES
+               for side, near, far in (("l_", "nl_", "cl_"), ("r_", "nr_", "cr_"))]
+    kept = [*spec.keys, *carry, "slot", *PRICES, "quality", "source_hora", "ingested_at"]
+    emitted = linked.selectExpr(
+        *kept,
+        *carried,
+        "nvl(next_in, next_lo) AS next_slot",
+        "explode(sequence(IF(leads AND opens, block_start, slot),"
+        f" nvl(nvl(next_in, next_lo) - 1, block_start + {n - 1}))) AS at",
+    )
+    line = {
+        c: f"l_{c}.v + (r_{c}.v - l_{c}.v) / (r_{c}.slot - l_{c}.slot) * (at - l_{c}.slot)"
+        for c in PRICES
+    }
+    short = (
+        f"at > slot AND next_slot - slot - 1 <= {max_interp}"
+        " AND l_pml IS NOT NULL AND r_pml IS NOT NULL"
+    )
+    filled = emitted.selectExpr(*kept, "at", f"({short}) AS short", *[
+        f"CASE WHEN at = slot THEN {c} WHEN {short} THEN {line[c]} END AS at_{c}" for c in PRICES
+    ])
+    out = filled.select(
         *spec.keys,
         *carry,
         clock.ts_of_slot(F.col("at"), spec).alias("ts_local"),
         clock.date_of_block(clock.block_of_slot(F.col("at"), spec), spec).alias("fecha"),
         clock.hora_of_slot(F.col("at"), spec).alias("hora"),
-        *[F.when(here, F.col(c)).when(short, filled[c]).alias(c) for c in PRICES],
-        F.when(here, F.col("quality"))
-        .when(short, F.lit("interp"))
-        .otherwise(F.lit("missing"))
-        .alias("quality"),
-        F.when(here, F.col("source_hora")).alias("source_hora"),
-        F.when(here, F.col("ingested_at")).alias("ingested_at"),
+        *[F.col(f"at_{c}").alias(c) for c in PRICES],
+        F.expr(
+            "CASE WHEN at = slot THEN quality WHEN short THEN 'interp' ELSE 'missing' END"
+        ).alias("quality"),
+        F.expr("IF(at = slot, source_hora, NULL)").alias("source_hora"),
+        F.expr("IF(at = slot, ingested_at, NULL)").alias("ingested_at"),
     )
     return out.select(*dict.fromkeys([*spec.keys, *SILVER_COLUMNS]))
 

@@ -134,12 +134,15 @@ def build_samples(
     holidays: DataFrame | None = None,
     only: Column | None = None,
     regions: tuple[str, ...] = REGIONS,
+    sequences: bool = True,
 ) -> DataFrame:
     """Every valid sample with its inputs in z-units, targets and index facts.
 
     ``X_seq`` is (input steps, 9): four standardised prices and five calendar
     inputs per step; components share the sigma of the total price. ``only`` is an
     extra predicate on the origin rows, applied before the arrays are built.
+    ``sequences=False`` leaves ``X_seq`` out: the baselines do not read it, and it
+    repeats every step once per sample whose window holds it.
     """
     rows = origin_blocks(silver, spec, settings, holidays).where("is_origin")
     if only is not None:
@@ -182,7 +185,8 @@ def build_samples(
         "std_raw",
         "mu_7d",
         spike_flag(F.col("target_top"), mu, sigma, settings.spike_k).alias("is_spike_day"),
-        F.transform("window", step_inputs).cast(f"array<{floats}>").alias("X_seq"),
+        *([F.transform("window", step_inputs).cast(f"array<{floats}>").alias("X_seq")]
+          if sequences else []),
         scaling.standardize_array(_prices(F.col("window")), mu, sigma).alias("z_pml"),
         calendar.target_calendar(F.col("target_date"), F.col("target_holiday"))
         .cast(floats)

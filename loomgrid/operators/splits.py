@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from loomgrid.config import UNKNOWN, Settings
 
 
+def _starts(last: Column, settings: Settings) -> tuple[Column, Column]:
+    """First validation and first test day for a last target date."""
+    test_start = F.date_add(F.add_months(last, -settings.test_months), 1)
+    return F.date_sub(test_start, settings.val_days), test_start
+
+
 def split_bounds(samples: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row of split boundaries, from the last target date."""
-    last = samples.agg(F.max("target_date").alias("test_end"))
-    test_start = F.date_add(F.add_months("test_end", -settings.test_months), 1)
-    val_start = F.date_sub(test_start, settings.val_days)
-    return last.select(
+    val_start, test_start = _starts(F.col("test_end"), settings)
+    return samples.agg(F.max("target_date").alias("test_end")).select(
         F.date_sub(val_start, 1).alias("train_end"),
         val_start.alias("val_start"),
         F.date_sub(test_start, 1).alias("val_end"),
@@ -36,13 +40,9 @@ def assign_splits(
     The last date is read by a scalar subquery. ``index`` is a cheaper relation
     with the same target dates, where the caller has one.
     """
-    bounds = split_bounds(samples if index is None else index, settings)
-    label = split_label(
-        F.col("target_date"),
-        bounds.select("val_start").scalar(),
-        bounds.select("test_start").scalar(),
-    )
-    return samples.withColumn("split", label)
+    source = samples if index is None else index
+    last = source.agg(F.max("target_date").alias("d")).scalar()
+    return samples.withColumn("split", split_label(F.col("target_date"), *_starts(last, settings)))
 
 
 def target_days(index: DataFrame, split: str = "test") -> DataFrame:

@@ -22,23 +22,23 @@ def block_partials(silver: DataFrame, spec: SeriesSpec, steps: bool = False) ->
     rows = with_slots(silver, spec)
     carry = [c for c in ("market", "sistema") if c in rows.columns and c not in spec.keys]
     aggregates = [
-        F.min("fecha").alias("fecha"),
-        *[F.max(c).alias(c) for c in carry],
-        F.count("*").alias("n_rows"),
-        F.count("pml").alias("n"),
-        F.sum("pml").alias("s"),
-        (F.var_pop("pml") * F.count("pml")).alias("m2"),
-        F.max("pml").alias("top"),
-        *[F.count(c).alias(f"n_{c}") for c in COMPONENTS],
-        *[F.sum(c).alias(f"s_{c}") for c in COMPONENTS],
-        F.count_if(F.col("quality") == "missing").alias("n_missing"),
-        F.count_if(F.col("quality") == "interp").alias("n_interp"),
+        "min(fecha) AS fecha",
+        *[f"max({c}) AS {c}" for c in carry],
+        "count(*) AS n_rows",
+        "count(pml) AS n",
+        "sum(pml) AS s",
+        "var_pop(pml) * count(pml) AS m2",
+        "max(pml) AS top",
+        *[f"count({c}) AS n_{c}" for c in COMPONENTS],
+        *[f"sum({c}) AS s_{c}" for c in COMPONENTS],
+        "count_if(quality = 'missing') AS n_missing",
+        "count_if(quality = 'interp') AS n_interp",
     ]
     if steps:
         extra = [c for c in ("is_holiday",) if c in rows.columns]
-        step = F.struct("hora", "ts_local", *PRICES, "quality", *extra)
-        aggregates.append(F.array_sort(F.collect_list(step)).alias("steps"))
-    return rows.groupBy(*chunk_keys(spec), "block").agg(*aggregates)
+        step = ", ".join(["hora", "ts_local", *PRICES, "quality", *extra])
+        aggregates.append(f"array_sort(collect_list(struct({step}))) AS steps")
+    return rows.groupBy(*chunk_keys(spec), "block").agg(*map(F.expr, aggregates))
 
 
 def frame(spec: SeriesSpec, first: int, last: int):
@@ -56,20 +56,25 @@ def trailing_stats(
     ``ending`` is the last block of the windows relative to the current one; -1
     gives the statistics frozen one block earlier.
     """
-    trail = frame(spec, ending - settings.stats_blocks + 1, ending)
-    recent = frame(spec, ending - settings.input_blocks + 1, ending)
+    over = f"OVER (PARTITION BY {', '.join(chunk_keys(spec))} ORDER BY block RANGE BETWEEN"
+
+    def reach(blocks: int) -> str:
+        last = f"{-ending} PRECEDING" if ending else "CURRENT ROW"
+        return f"{over} {blocks - ending - 1} PRECEDING AND {last})"
+
+    trail, recent = reach(settings.stats_blocks), reach(settings.input_blocks)
     # deviations from a level nearby (see with_pivot), so the squares stay small
-    shift = F.when(F.col("n") > 0, F.col("s") / F.col("n")) - F.col("pivot")
-    return {
-        "t_n": F.sum("n").over(trail),
-        "t_s": F.sum("s").over(trail),
-        "t_m2": F.sum("m2").over(trail),
-        "t_d2": F.sum(F.col("n") * shift * shift).over(trail),
-        **{f"t_n_{c}": F.sum(f"n_{c}").over(trail) for c in COMPONENTS},
-        **{f"t_s_{c}": F.sum(f"s_{c}").over(trail) for c in COMPONENTS},
-        "r_n": F.sum("n").over(recent),
-        "r_s": F.sum("s").over(recent),
+    sums = {
+        "t_n": f"sum(n) {trail}",
+        "t_s": f"sum(s) {trail}",
+        "t_m2": f"sum(m2) {trail}",
+        "t_d2": f"sum(n * pow(IF(n > 0, s / n, NULL) - pivot, 2)) {trail}",
+        **{f"t_n_{c}": f"sum(n_{c}) {trail}" for c in COMPONENTS},
+        **{f"t_s_{c}": f"sum(s_{c}) {trail}" for c in COMPONENTS},
+        "r_n": f"sum(n) {recent}",
+        "r_s": f"sum(s) {recent}",
     }
+    return {name: F.expr(text) for name, text in sums.items()}
 
 
 def with_pivot(blocks: DataFrame, spec: SeriesSpec) -> DataFrame:

@@ -84,18 +84,22 @@ def build_dataset(
     market: str = "MDA",
     regions: tuple[str, ...] = REGIONS,
     staged: bool = True,
+    sequences: bool = True,
 ) -> Dataset:
     """Assemble the samples of a set of nodes.
 
     ``staged`` writes the window rows once to the shared folder, because splits,
-    vocabularies, ids and every model read them again.
+    vocabularies, ids and every model read them again. ``sequences=False`` drops the
+    wide ``X_seq`` input, which only supplied sequence models read.
     """
     rows = operation_dates(silver, start, end)
     if isinstance(nodes, DataFrame):
         rows = rows.join(nodes.select("node").distinct(), "node", "left_semi")
     elif nodes is not None:
         rows = rows.where(F.col("node").isin(list(nodes)))
-    built = sample_ops.build_samples(rows, spec, settings, catalog, holidays, regions=regions)
+    built = sample_ops.build_samples(
+        rows, spec, settings, catalog, holidays, regions=regions, sequences=sequences
+    )
     if staged:
         built = stage(built, "samples")
     labelled = splits.assign_splits(built, settings)

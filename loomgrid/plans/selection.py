@@ -221,7 +221,13 @@ def window_search(
     for blocks in windows:
         settings = replace(ds.settings, input_blocks=blocks)
         variant = build_dataset(
-            silver, catalog, f"w{blocks}", ds.spec, settings, holidays=holidays
+            silver,
+            catalog,
+            f"w{blocks}",
+            ds.spec,
+            settings,
+            holidays=holidays,
+            sequences=False,
         )
         row = _study_row(
             variant,
@@ -257,6 +263,7 @@ def training_window(
             start=start,
             end=bounds[1] + datetime.timedelta(days=ds.spec.block_days - 1),
             holidays=holidays,
+            sequences=False,
         )
         facts = variant.samples.agg(
             F.max("target_date").alias("last"), F.count_if(F.col("split") == "train").alias("n")

@@ -58,7 +58,7 @@ def _first(v: Column, keys: tuple[str, ...], kind: str, blank: bool = False) ->
     return F.coalesce(*found)
 
 
-def _message(v: Column) -> Column:
+def _message(v: Column, body: Column) -> Column:
     """Service message of an object body, under a known key or by its wording."""
     texts = F.filter(
         F.map_values(F.try_variant_get(v, "$", "map<string,variant>")),
@@ -68,7 +68,9 @@ def _message(v: Column) -> Column:
         F.transform(texts, lambda x: F.try_variant_get(x, "$", "string")),
         lambda t: F.lower(t).contains(MESSAGE_TEXT),
     )
-    return F.coalesce(_first(v, MESSAGE_KEYS, "string", blank=True), F.get(worded, F.lit(0)))
+    # most bodies are long price lists without the wording; only the others are taken apart
+    by_wording = F.when(F.lower(body).contains(MESSAGE_TEXT), F.get(worded, F.lit(0)))
+    return F.coalesce(_first(v, MESSAGE_KEYS, "string", blank=True), by_wording)
 
 
 def parse_bodies(rows: DataFrame, body: str = "body") -> DataFrame:
@@ -77,15 +79,17 @@ def parse_bodies(rows: DataFrame, body: str = "body") -> DataFrame:
     Tolerates object and list bodies and several key spellings. Blank bodies give
     neither items nor a message; text that is not JSON gives a message.
     """
-    blank = F.coalesce(F.trim(F.col(body)) == "", F.lit(True))
-    parsed = rows.withColumn("_v", F.try_parse_json(F.col(body)))
+    text = F.regexp_replace(F.col(body), r"^\s+", "")
+    parsed = rows.withColumns(
+        {"_v": F.try_parse_json(F.col(body)), "_open": F.substring(text, 1, 1)}
+    )
     v = F.col("_v")
-    kind = F.schema_of_variant(v)
-    is_list = kind.startswith("ARRAY")
-    is_object = kind.startswith("OBJECT")
-    own = F.when(is_object, _message(v))
+    # the first character of valid JSON tells its kind
+    is_list, is_object = F.col("_open") == "[", F.col("_open") == "{"
+    parsed = parsed.withColumn("_own", F.when(is_object, _message(v, F.col(body))))
+    own = F.col("_own")
     message = (
-        F.when(blank, F.lit(None).cast("string"))
+        F.when(F.coalesce(F.col("_open") == "", F.lit(True)), F.lit(None).cast("string"))
         .when(v.isNull(), "invalid json")
         .when(is_object, own)
         .when(~is_list, "unexpected payload")
@@ -93,7 +97,7 @@ def parse_bodies(rows: DataFrame, body: str = "body") -> DataFrame:
     items = F.when(is_list, F.try_variant_get(v, "$", "array<variant>")).when(
         is_object & own.isNull(), _first(v, RESULT_KEYS, "array<variant>")
     )
-    return parsed.withColumns({"items": items, "message": message}).drop("_v")
+    return parsed.withColumns({"items": items, "message": message}).drop("_v", "_open", "_own")
 
 
 def explode_records(parsed: DataFrame, keep: list[str]) -> DataFrame:

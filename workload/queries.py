@@ -22,7 +22,7 @@ from loomgrid.operators import (
 )
 from loomgrid.operators.forecasters import BatchScorer, RidgeLags, SeasonalMA
 from loomgrid.plans import baselines, daily, dataset, selection
-from loomgrid.session import configure
+from loomgrid.session import configure, stage
 from loomgrid.sources import bronze, catalog, silver
 from workload import series
 from workload.series import (
@@ -83,8 +83,12 @@ def monthly_silver(spark, sf) -> DataFrame:
 
 
 def weekly_samples(spark, sf) -> DataFrame:
-    built = samples.build_samples(weekly_silver(spark, sf), WEEKLY, WEEKLY_SETTINGS)
-    return splits.assign_splits(built, WEEKLY_SETTINGS)
+    """Labelled weekly samples without the model inputs, written once and read back."""
+    built = samples.build_samples(
+        weekly_silver(spark, sf), WEEKLY, WEEKLY_SETTINGS, sequences=False
+    )
+    kept = stage(built.drop("z_pml", "X_cal", "X_level", "region_onehot", "y", "comp_mu"))
+    return splits.assign_splits(kept, WEEKLY_SETTINGS)
 
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "UNKNOWN")
@@ -98,8 +102,9 @@ def monthly_samples(spark, sf) -> DataFrame:
         series.nation_catalog(spark, sf),
         series.order_holidays(spark, sf),
         regions=REGIONS,
+        sequences=False,
     )
-    return splits.assign_splits(built, MONTHLY_SETTINGS)
+    return splits.assign_splits(stage(built.drop("z_pml")), MONTHLY_SETTINGS)
 
 
 def monthly_dataset(spark, sf) -> dataset.Dataset:
@@ -111,6 +116,7 @@ def monthly_dataset(spark, sf) -> dataset.Dataset:
         MONTHLY_SETTINGS,
         holidays=series.order_holidays(spark, sf),
         regions=REGIONS,
+        sequences=False,
     )
 
 
@@ -615,7 +621,7 @@ def batch_scoring(spark, sf):
     def load():
         return lambda seq, cal, level: seq[:, -n:, 0]
 
-    rows = weekly_samples(spark, sf)
+    rows = samples.build_samples(weekly_silver(spark, sf), WEEKLY, WEEKLY_SETTINGS)
     predicted = BatchScorer(load, "repeat_last").predict(rows)
     # inputs are single precision, so the prices come back to a few parts in a million
     share = F.zip_with("y_pred", "last_block", lambda p, v: F.round(p / v, 3))
@@ -993,7 +999,10 @@ def order_bodies(spark, sf) -> DataFrame:
     status = F.when(F.col("o_totalprice") < 50000, 503).when(
         F.col("o_totalprice") < 60000, 404
     ).otherwise(200)
-    return rows.select("o_orderkey", body.alias("body"), status.alias("status_code"))
+    # parsing is the costly part, so the bodies are spread over all tasks first
+    return rows.select("o_orderkey", body.alias("body"), status.alias("status_code")).repartition(
+        "o_orderkey"
+    )
 
 
 @query
