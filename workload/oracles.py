@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from loomgrid.config import SeriesSpec
 from workload import sql
-from workload.queries import PLAN, PLAN_EPOCH
+from workload.queries import OFF_TIES, PLAN, PLAN_EPOCH
 from workload.sql import clock, day_of, grid, labelled, measures, origins, scored, stamp, stats
 
 HOUR, HOUR_SET = clock("hourly")
@@ -631,7 +633,8 @@ ORACLES: dict[str, str] = {
             WHEN y.node IS NULL THEN 'too little clean history' END AS skip_reason
         FROM found f LEFT JOIN ready y ON y.node = f.node AND y.target_date = f.target_date""",
     "forecast_answers": f"""WITH {answers_sql()},
-        asked AS (SELECT y.* FROM ready y JOIN req USING (node, target_date)),
+        asked AS (SELECT y.* REPLACE (list_transform(y.prices, lambda v: floor(v + {OFF_TIES}))
+            AS prices) FROM ready y JOIN req USING (node, target_date)),
         sums AS (SELECT node, target_date, s, list_sum(list_slice(prices, s, s + 3)) AS total
             FROM (SELECT *, unnest(range(1, 5)) AS s FROM asked)),
         picks AS (SELECT node, target_date, min(s) FILTER (total = hi) AS b,
@@ -643,8 +646,7 @@ ORACLES: dict[str, str] = {
             ELSE '2001-10-08 09:00:00' END AS issued_at,
         strftime(origin_date + 6, '%Y-%m-%d 00:00:00') AS history_end, b AS best_start,
         c AS cheapest_start, CAST(backtest AS BIGINT) AS backtest, 7 AS n_hours,
-        round(list_sum(list_transform(prices,
-            lambda v: round(CAST(v AS DECIMAL(18, 9)), 2)::DOUBLE)), 6) AS total
+        round(list_sum(prices), 6) AS total
         FROM asked JOIN picks USING (node, target_date)""",
     "pending_block": f"""WITH {grid('weekly')},
         tail AS (SELECT node, max(slot) AS last FROM grid GROUP BY 1)
@@ -663,3 +665,11 @@ ORACLES["ablation"] = f"""WITH folds AS ({ORACLES['holdout_naive']})
     CAST(sum(n_test) AS BIGINT) AS n_test, round(avg(mae), 4) AS mae, round(avg(skill), 4) AS skill,
     round(avg(top4_overlap), 4) AS top4_overlap, round(avg(mae_nospike), 4) AS mae_nospike
     FROM folds GROUP BY 1, 2"""
+
+
+def off_ties(text: str) -> str:
+    """Shift every value rounded to six digits like the queries do."""
+    return re.sub(r"(?<!range\(1)(?<!lag\(prices), 6\)", f" + {OFF_TIES!r}, 6)", text)
+
+
+ORACLES = {name: off_ties(text) for name, text in ORACLES.items()}
