@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.config import UNKNOWN, Settings
+from loomgrid.operators.numbering import number_in_order
 
 
 def _starts(last: Column, settings: Settings) -> tuple[Column, Column]:
@@ -66,10 +67,9 @@ def node_folds(index: DataFrame, max_folds: int | None = None) -> DataFrame:
     eligible = nodes.join(shared.select("zone"), "zone", "left_semi")
     if max_folds is not None:
         eligible = eligible.orderBy("node").limit(max_folds)
-    return eligible.select(
-        F.col("node").alias("held_out"),
-        "zone",
-        F.row_number().over(Window.orderBy("node")).alias("fold"),
+    placed = number_in_order(eligible, [], "node", "place")
+    return placed.select(
+        F.col("node").alias("held_out"), "zone", (F.col("place") + 1).alias("fold")
     )
 
 

@@ -50,6 +50,15 @@ def next_targets(
     )
 
 
+def days_between(silver: DataFrame, days: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
+    """Silver rows near the days of a small relation ``(fecha)``, read by date range."""
+    first = days.agg(F.min("fecha").alias("d")).scalar()
+    last = days.agg(F.max("fecha").alias("d")).scalar()
+    return silver.where(
+        (F.col("fecha") >= F.date_sub(first, before)) & (F.col("fecha") <= F.date_add(last, after))
+    )
+
+
 def scope_reason(known: Column, sistema: Column, has_catalog: bool) -> Column:
     """Why an entity is out of scope; null when it is in, or no catalogue is loaded."""
     if not has_catalog:
@@ -98,8 +107,11 @@ def explain_requests(
     asked = requests.withColumn(
         "origin_date", F.date_sub("target_date", spec.block_days)
     )
-    stored = silver.groupBy(*keys, "fecha").agg(F.lit(1).alias("one")).select(*keys, "fecha")
     reach = history_days(spec, settings)
+    near = days_between(
+        silver, asked.select(F.col("origin_date").alias("fecha")), reach, spec.block_days
+    )
+    stored = near.select(*keys, "fecha").distinct()
     # requests are few; each is spread over the days it may read and matched by day
     days = asked.withColumn(
         "fecha",
@@ -143,7 +155,8 @@ def forecast_answers(
 ) -> DataFrame:
     """Forecasts with rounded prices, best and cheapest block and audit fields."""
     keys = list(spec.keys)
-    published = silver.select(*keys, F.col("fecha").alias("target_date")).distinct()
+    near = days_between(silver, predicted.select(F.col("target_date").alias("fecha")))
+    published = near.select(*keys, F.col("fecha").alias("target_date")).distinct()
     rows = predicted.join(
         published.withColumn("backtest", F.lit(True)), [*keys, "target_date"], "left"
     ).withColumn("backtest", F.coalesce("backtest", F.lit(False)))
@@ -231,9 +244,10 @@ def score_published(
         for name, lag in lags.items()
     ]
     needed = pending.select(*done, F.inline(F.array(*roles)))
-    blocks = block_partials(silver, spec, steps=True).where(
-        F.col("n") == spec.steps_per_block
-    )
+    # only the blocks some forecast looks up are aggregated
+    wanted = needed.select(*keys, "fecha").distinct()
+    near = days_between(silver, wanted).join(wanted, [*keys, "fecha"], "left_semi")
+    blocks = block_partials(near, spec, steps=True).where(F.col("n") == spec.steps_per_block)
     prices = F.transform("steps", lambda s: s["pml"])
     found = needed.join(blocks.select(*keys, "fecha", prices.alias("prices")), [*keys, "fecha"])
     wide = found.groupBy(*done).agg(

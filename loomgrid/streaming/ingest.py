@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loomgrid.config import TIME_ZONE, SeriesSpec
 from loomgrid.operators.cleaning import first_observed
 from loomgrid.schemas import ENVELOPE, SILVER_COLUMNS
+from loomgrid.session import stage
 from loomgrid.sources.bronze import ENVELOPE_FILES, envelope_rows
 from loomgrid.sources.silver import BUCKETS, upsert_silver
 
@@ -48,7 +49,8 @@ def merge_batch(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = first_observed(envelope_rows(batch, spec, tz), spec, ["path"])
-        rows = rows.select(*SILVER_COLUMNS)
+        # written once: the merge reads the rows several times
+        rows = stage(rows.select(*SILVER_COLUMNS), "batch")
         if not rows.isEmpty():
             upsert_silver(batch.sparkSession, silver_path, rows, spec, max_interp, buckets)
             if after is not None:

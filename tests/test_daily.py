@@ -188,3 +188,27 @@ def test_reruns_replace_the_same_day_only(spark, tmp_path):
 
 def test_freshness(stored):
     assert coverage.freshness(stored).first()["last_day"] == D(2024, 1, 20)
+
+
+def test_model_card_and_node_options(spark, stored, known):
+    built = samples.build_samples(stored.where("node = 'A'"), HOURLY, SETTINGS, known)
+    from loomgrid.operators import splits
+    from loomgrid.plans import dataset
+    from loomgrid.sources import catalog
+
+    labelled = splits.assign_splits(built, Settings(test_months=0, val_days=3))
+    nodes = labelled.select("node", "zone", "kv").distinct()
+    meta = dataset.dataset_meta(labelled, nodes, known, "card", HOURLY, SETTINGS)
+    scores = spark.createDataFrame(
+        [("A", D(2024, 1, 15), 5.0, 0.5, 0.9, 0.1)],
+        "node string, target_date date, mae double, top4_overlap double, captured_value double,"
+        " skill_vs_naive24 double")
+    card = daily.model_card(meta, scores, stored).first()
+    assert (card["dataset"], card["nodes"], card["recent_mae"]) == ("card", 1, 5.0)
+    assert card["last_day"] == D(2024, 1, 20) and card["scaling_days"] == 7
+    named = known.selectExpr("*", "concat('name ', node) AS name", "'m' AS municipality", "'s' AS state")
+    listed = known.where("node <> 'A'").unionByName(
+        known.where("node = 'A'").withColumn("node", F.lit("Q")))
+    rows = catalog.node_options(listed, named.where("node <> 'B'")).collect()
+    assert [r["node"] for r in rows] == ["B", "C", "E", "F", "Q"]
+    assert rows[0]["name"] is None and rows[1]["name"] == "name C"
