@@ -585,6 +585,19 @@ ORACLES: dict[str, str] = {
         round(l_extendedprice, 6) AS pml,
         CASE WHEN l_returnflag = 'N' THEN NULL ELSE round(l_quantity, 6) END AS pml_ene,
         NULL::DOUBLE AS pml_per FROM ({order_items()})""",
+    "envelope_observed": f"""WITH items AS (SELECT o_orderkey, 'C' || o_custkey AS node,
+            CAST(l_shipdate AS DATE) AS f, l_linenumber AS h, l_extendedprice AS p,
+            row_number() OVER (PARTITION BY o_orderkey, l_shipdate, l_linenumber
+                ORDER BY format('{{:,.2f}}', l_extendedprice) DESC) AS r FROM ({order_items()})),
+        first AS (SELECT * FROM items WHERE r = 1
+            QUALIFY row_number() OVER (PARTITION BY node, f, h ORDER BY o_orderkey) = 1)
+        SELECT node, strftime(CAST(f AS TIMESTAMP) + to_hours(h - 1), '%Y-%m-%d %H:%M:%S')
+        AS ts_local, round(p, 6) AS pml, 'ok' AS quality, 'SIN' AS sistema, 'MDA' AS market
+        FROM first""",
+    "node_options": f"""WITH {SELECTED}
+        SELECT s.node, s.region, s.zone, s.kv, c.name, c.zone AS municipality,
+        c.region AS state FROM selected s
+        LEFT JOIN (SELECT * FROM cust WHERE name <> 'BUILDING') c ON c.node = s.node""",
     "body_messages": f"""SELECT {MESSAGE} AS message, count(*) AS n FROM ({RESPONSES})
         GROUP BY 1""",
     "collection_events": f"""WITH items AS (SELECT o_orderkey, count(*) AS n

@@ -1030,6 +1030,30 @@ def collection_events(spark, sf):
     return bronze.collection_summary(classified)
 
 
+@query
+def envelope_observed(spark, sf):
+    """Observed rows of all responses: last record of a body, first body of an hour."""
+    envelopes = order_bodies(spark, sf).select(
+        F.lpad(F.col("o_orderkey").cast("string"), 20, "0").alias("path"),
+        F.lit("SIN").alias("sistema"),
+        F.lit("MDA").alias("proceso"),
+        "body",
+    )
+    rows = bronze.envelope_rows(envelopes, HOURLY)
+    unique = cleaning.first_observed(rows, HOURLY, ["path"])
+    return unique.select("node", "ts_local", "pml", "quality", "sistema", "market")
+
+
+@query
+def node_options(spark, sf):
+    """Selected customers with the names and places of the catalogue."""
+    facts = series.customer_catalog(spark, sf).where("name <> 'BUILDING'")
+    places = facts.select(
+        "node", "name", F.col("zone").alias("municipality"), F.col("region").alias("state")
+    )
+    return catalog.node_options(selected_nodes(spark, sf), places)
+
+
 # --- daily operation -------------------------------------------------------------
 
 
