@@ -237,21 +237,21 @@ def price_of(z: Column) -> Column:
     return F.when(~F.exists(z, lambda v: F.isnan(v)), prices)
 
 
+def price_errors(z_hats: str) -> Column:
+    """Absolute price error of a sample under each of its z forecasts, as an array."""
+
+    def error(z: Column) -> Column:
+        gaps = F.zip_with(price_of(z), F.col("y_price"), lambda p, t: F.abs(p - t))
+        return F.aggregate(gaps, F.lit(0.0), lambda acc, v: acc + v)
+
+    return F.transform(z_hats, error)
+
+
 def validation_errors(
     rows: DataFrame, models: list[tuple[np.ndarray, np.ndarray]]
 ) -> list[float]:
     """Mean absolute price error of each model over the rows, in one pass."""
-    scored = predict_linear(rows, models).withColumn(
-        "errors",
-        F.transform(
-            "z_hats",
-            lambda z: F.aggregate(
-                F.zip_with(price_of(z), F.col("y_price"), lambda p, t: F.abs(p - t)),
-                F.lit(0.0),
-                lambda acc, v: acc + v,
-            ),
-        ),
-    )
+    scored = predict_linear(rows, models).select(price_errors("z_hats").alias("errors"))
     row = scored.agg(*[F.avg(F.get("errors", F.lit(i))) for i in range(len(models))]).first()
     return [float("inf") if v is None else v for v in row]
 

@@ -8,12 +8,14 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.config import RIDGE_ALPHAS
 from loomgrid.operators import evaluate, splits
 from loomgrid.operators.forecasters import (
     RidgeLags,
     collect_grams,
     gram_table,
     predict_linear,
+    price_errors,
     price_of,
     solve_ridge,
     validation_errors,
@@ -124,16 +126,10 @@ def holdout(
             kept = [g for (s, h), g in grams.items() if s == split and h != without]
             return sum(kept) if kept else None
 
-        for label in labels:
-            train, val = total("train", label), total("val", label)
-            if train is None:
-                continue
-            model = RidgeLags(ds.spec, ds.settings, metadata=kind != "history", name=kind)
-            others = rows.where((F.col("split") == "val") & (F.col(by) != label))
-            model.choose(train, val, p, others)
-            test = rows.where((F.col("split") == "test") & (F.col(by) == label))
-            fitted = {kind: (model.coef, model.intercept)}
-            parts.append(_per_model(test, fitted))
+        usable = [label for label in labels if total("train", label) is not None]
+        fitted = _fit_folds(rows, usable, total, p)
+        if fitted:
+            parts.append(_per_fold(rows.where(F.col("split") == "test"), usable, fitted, kind))
     inside = ds.positions("test").where(F.col(by).isin(labels))
     for name, column in (("naive168", "week_block"), ("naive24", "last_block")):
         parts.append(
@@ -167,6 +163,58 @@ def holdout(
     )
 
 
+def _fit_folds(rows: DataFrame, labels: list[str], total, n_inputs: int) -> list[tuple]:
+    """Model of every fold; the penalties of all folds are scored in one pass over val."""
+    candidates = [
+        (label, alpha, solve_ridge(total("train", label), n_inputs, alpha))
+        for label in labels
+        for alpha in RIDGE_ALPHAS
+    ]
+    with_val = {label for label in labels if total("val", label) is not None}
+    errors = {}
+    if with_val:
+        val = rows.where(F.col("split") == "val")
+        scored = predict_linear(val, [m for _, _, m in candidates]).select(
+            "held", price_errors("z_hats").alias("errors")
+        )
+        means = [
+            F.avg(F.when(F.col("held") != label, F.get("errors", F.lit(i))))
+            for i, (label, _, _) in enumerate(candidates)
+        ]
+        for (label, alpha, _), value in zip(candidates, scored.agg(*means).first()):
+            errors[(label, alpha)] = float("inf") if value is None else value
+    fitted = []
+    for label in labels:
+        train, val_part = total("train", label), total("val", label)
+        alpha = RIDGE_ALPHAS[len(RIDGE_ALPHAS) // 2]
+        if label in with_val:
+            alpha = min(RIDGE_ALPHAS, key=lambda a: errors[(label, a)])
+        whole = train if val_part is None else train + val_part
+        fitted.append(solve_ridge(whole, n_inputs, alpha))
+    return fitted
+
+
+def _per_fold(rows: DataFrame, labels: list[str], models: list[tuple], kind: str) -> DataFrame:
+    """Held-out forecasts: each sample is forecast by the model that never saw its label."""
+    inside = rows.where(F.col("held").isin(labels))
+    place = F.array_position(F.array(*map(F.lit, labels)), F.col("held")).cast("int")
+    predicted = predict_linear(inside, models).withColumn(
+        "y_pred", price_of(F.element_at("z_hats", place))
+    )
+    return predicted.select(
+        "sample_id",
+        "node",
+        "region",
+        "zone",
+        "split",
+        "is_spike_day",
+        F.lit(kind).alias("model_name"),
+        F.col("y_price").alias("y_true"),
+        "y_pred",
+        F.col("week_block").alias("y_ref"),
+    )
+
+
 def ablation_table(folds: DataFrame) -> DataFrame:
     """Average the folds per regime and model."""
     means = ("mae", "skill", "top4_overlap", "mae_nospike")
