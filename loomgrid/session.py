@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -41,6 +42,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra) -
     return spark
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="loomgrid-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster.
 
@@ -51,9 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
-    named = tempfile.mkdtemp(prefix="loomgrid-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return _local_dir()
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -20,11 +20,8 @@ SPRING_2022 = datetime.date(2022, 4, 3)
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = local_session(4, 4)
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return session
+def spark():
+    return local_session(4, 4)
 
 
 def make_records(node, start, days, drop=(), level=800.0, seed=0):

@@ -5,7 +5,7 @@ from conftest import HOURLY, hourly_rows, make_records
 from pyspark.sql import functions as F
 
 from loomgrid.config import Settings
-from loomgrid.operators import coverage, evaluate, grid, planning, samples
+from loomgrid.operators import coverage, grid, planning, samples
 from loomgrid.plans import daily
 from loomgrid.sources import gold
 
