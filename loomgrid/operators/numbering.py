@@ -5,27 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX_LENGTH = 3
+from loomgrid.session import stage
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in partitions by range of ``order``, their number as ``_part``.
+
+    Written once: range bounds come from a sample, so that a second evaluation could
+    draw others. Every type that sorts can be numbered this way.
+    """
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    return stage(parts, "ranged")
 
 
 def number_in_order(df: DataFrame, groups: list[str], key: str, name: str) -> DataFrame:
     """0-based position of each row of a group in ``key`` order (keys are unique).
 
-    Rows are ranked per key prefix and prefixes are offset by their counts, so a
-    large group spreads over tasks by prefix.
+    Rows are ranked per range partition and partitions are offset by their counts, so a
+    large group spreads over tasks.
     """
-    rows = df.withColumn("_prefix", F.substring(F.col(key).cast("string"), 1, PREFIX_LENGTH))
-    counts = rows.groupBy(*groups, "_prefix").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_prefix")
+    rows = ranged(df, [*groups, key])
+    counts = rows.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_part")
     starts = counts.select(
-        *groups, "_prefix", (F.sum("_n").over(before) - F.col("_n")).alias("_start")
+        *groups, "_part", (F.sum("_n").over(before) - F.col("_n")).alias("_start")
     )
-    rank = F.row_number().over(Window.partitionBy(*groups, "_prefix").orderBy(key)) - 1
+    rank = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(key)) - 1
     return (
         rows.withColumn("_rank", rank)
-        .join(starts, [*groups, "_prefix"])
+        .join(starts, [*groups, "_part"])
         .withColumn(name, (F.col("_start") + F.col("_rank")).cast("bigint"))
-        .drop("_prefix", "_start", "_rank")
+        .drop("_part", "_start", "_rank")
+    )
+
+
+def next_in_order(keys: DataFrame, key: str, name: str, wrap: bool = False) -> DataFrame:
+    """(key, following key) of a table of unique keys; after the last none, or the first.
+
+    Neighbours are found inside range partitions; the last key of a partition looks up the
+    first one of the next partition that has any.
+    """
+    rows = ranged(keys.select(key), [key])
+    heads = rows.groupBy("_part").agg(F.min(key).alias("_head"))
+    # one row per partition
+    parts = Window.partitionBy(F.lit(0)).orderBy("_part")
+    after = F.lead("_head").over(parts)
+    if wrap:
+        after = F.coalesce(after, F.min("_head").over(Window.partitionBy(F.lit(0))))
+    heads = heads.select("_part", after.alias("_after"))
+    follows = F.lead(key).over(Window.partitionBy("_part").orderBy(key))
+    return (
+        rows.withColumn("_next", follows)
+        .join(heads, "_part")
+        .select(key, F.coalesce("_next", "_after").alias(name))
     )
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
-import os
 import tempfile
 import uuid
 
@@ -50,24 +50,51 @@ def _local_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster.
 
-    A machine-local folder is used only when the setting is absent, as in tests.
+    One of the local machine serves only where the setting is absent and the whole
+    session runs on that machine, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
     return _local_dir()
 
 
+def stage_dir(spark: SparkSession) -> str:
+    """Folder of the application's staged tables, removed when the application ends."""
+    path = f"{shared_dir(spark)}/loomgrid/{spark.sparkContext.applicationId}"
+    _remove_at_exit(spark, path)
+    return path
+
+
+@functools.cache
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove, spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended and took its JVM along
+        return
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove every staged table of the application, once no result needs them any more."""
+    _remove(spark, stage_dir(spark))
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage where one result feeds several later jobs. The written
     table survives executor loss and later reads prune columns, which an RDD
-    checkpoint of the wide sample rows could not.
+    checkpoint of the wide sample rows could not. It stays until ``drop_stages``
+    or the end of the application, since later jobs may still read it.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "loomgrid", f"{label}-{uuid.uuid4().hex}")
+    path = f"{stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,20 +29,22 @@ def _key(row: tuple) -> tuple:
     return tuple((v is None, str(type(v)), v) for v in row)
 
 
-def compare(spark, con, name: str, sf_dir: str) -> tuple[str, int, float]:
+def compare(
+    spark, con, name: str, sf_dir: str, queries: dict = QUERIES, oracles: dict = ORACLES
+) -> tuple[str, int, float]:
     """Outcome, row count and Spark seconds of one query."""
     started = time.monotonic()
-    df = QUERIES[name](spark, sf_dir)
+    df = queries[name](spark, sf_dir)
     columns = sorted(df.columns)
     left = [tuple(r) for r in df.select(*columns).collect()]
     seconds = time.monotonic() - started
-    if name not in ORACLES:
+    if name not in oracles:
         return ("rows only" if left else "EMPTY"), len(left), seconds
-    relation = con.sql(ORACLES[name])
+    relation = con.sql(oracles[name])
     if sorted(relation.columns) != columns:
         return f"COLUMNS {columns} vs {sorted(relation.columns)}", len(left), seconds
     right = con.sql(
-        "SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({ORACLES[name]})"
+        "SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({oracles[name]})"
     ).fetchall()
     if len(left) != len(right):
         return f"ROWS {len(left)} vs {len(right)}", len(left), seconds
