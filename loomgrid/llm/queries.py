@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm import fingerprints, line_dedup
+from loomgrid.llm import fingerprints, line_dedup, simhash
 from loomgrid.llm.rows import documents
 
 
@@ -19,4 +19,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_fingerprints)}
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all texts and the components of their near-duplicate links."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {
+    f.__name__: f for f in (op1_line_dedup, op5_fingerprints, op10_simhash_near_dedup)
+}
