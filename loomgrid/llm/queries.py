@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm import fingerprints, line_dedup, simhash
-from loomgrid.llm.rows import documents
+from loomgrid.llm import fingerprints, line_dedup, quality, simhash, toxicity
+from loomgrid.llm.rows import documents, labels
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all texts, learned from the labels that are not held out."""
+    scored = toxicity.with_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all texts, learned from good and unlabelled ones that are not held out."""
+    scored = quality.with_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of all texts and of their edited forms, with likenesses."""
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
@@ -26,5 +38,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_line_dedup, op5_fingerprints, op10_simhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_toxicity,
+        op3_quality,
+        op5_fingerprints,
+        op10_simhash_near_dedup,
+    )
 }
