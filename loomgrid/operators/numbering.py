@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ def ranged(df: DataFrame, order: list[str]) -> DataFrame:
     Written once: range bounds come from a sample, so that a second evaluation could
     draw others. Every type that sorts can be numbered this way.
     """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(count, *order).withColumn("_part", F.spark_partition_id())
     return stage(parts, "ranged")
 
 
@@ -38,26 +41,27 @@ def number_in_order(df: DataFrame, groups: list[str], key: str, name: str) -> Da
     )
 
 
-def next_in_order(keys: DataFrame, key: str, name: str, wrap: bool = False) -> DataFrame:
-    """(key, following key) of a table of unique keys; after the last none, or the first.
+def range_part(df: DataFrame, key: str, parts: int) -> Column:
+    """Number of the range of ``key`` (a number) that a row lies in, out of about ``parts``
+    ranges of equal rows; rows without a key lie in the first.
 
-    Neighbours are found inside range partitions; the last key of a partition looks up the
-    first one of the next partition that has any.
+    The driver holds one bound per range. A bound is found in two steps, so the work of a
+    row grows with the square root of their number only.
     """
-    rows = ranged(keys.select(key), [key])
-    heads = rows.groupBy("_part").agg(F.min(key).alias("_head"))
-    # one row per partition
-    parts = Window.partitionBy(F.lit(0)).orderBy("_part")
-    after = F.lead("_head").over(parts)
-    if wrap:
-        after = F.coalesce(after, F.min("_head").over(Window.partitionBy(F.lit(0))))
-    heads = heads.select("_part", after.alias("_after"))
-    follows = F.lead(key).over(Window.partitionBy("_part").orderBy(key))
-    return (
-        rows.withColumn("_next", follows)
-        .join(heads, "_part")
-        .select(key, F.coalesce("_next", "_after").alias(name))
-    )
+    shares = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(key, shares, 20 * parts)).first()[0] if shares else None
+    bounds = sorted(set(found or []))
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not groups:
+        return F.lit(0)
+
+    def passed(values: Column) -> Column:
+        return F.size(F.filter(values, lambda bound: bound <= F.col(key)))
+
+    lasts = passed(F.lit([group[-1] for group in groups]))
+    inner = F.get(F.lit(groups), lasts)
+    return lasts * step + F.when(inner.isNull(), F.lit(0)).otherwise(passed(inner))
 
 
 BUCKETS_PER_OCTAVE = 1024
