@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.rows import words
-from loomgrid.operators.numbering import next_in_order
+from loomgrid.operators.numbering import range_part
 
 K = 128
 SHINGLE = 5
@@ -87,26 +87,34 @@ def as_text(sketch: Column) -> Column:
 def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Each document with its text half replaced by the beginning of the next document.
 
-    The order is found on the ids alone. The texts then meet by two equi-joins on the id, so no
-    window holds texts. Of rows with equal ids, the greatest text is what the one before reads.
-    A row without id has no next document.
+    Texts are shuffled once, into ranges of the id of about equal rows; only the last row of a
+    range looks up the first text of the following one, of which there is one per range. Rows
+    are ordered by id, then text: those without id come first, those with equal ids follow
+    each other.
     """
-    ids = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct()
-    order = next_in_order(ids, "id", "next_id", wrap=True)
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    nexts = rows.groupBy("id").agg(F.max("text").alias("next_text"))
-    nexts = nexts.select(F.col("id").alias("next_id"), "next_text")
-    found = rows.join(order, "id", "left").join(nexts, "next_id", "left")
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("part", range_part(rows, "id", parts))
+    # null ids sort first, so a part that has any begins with them
+    head = F.when(F.count("id") == F.count("*"), F.min("id")).alias("head")
+    heads = rows.groupBy("part").agg(head)
+    texts = rows.join(heads.withColumnRenamed("part", "at"), F.col("id").eqNullSafe(F.col("head")))
+    heads = texts.groupBy("at").agg(F.min("text").alias("first"))
+    # one row per range
+    line = Window.partitionBy(F.lit(0))
+    after = F.coalesce(F.lead("first").over(line.orderBy("at")), F.first("first").over(line.orderBy("at")))
+    heads = heads.select(F.col("at").alias("part"), after.alias("after"))
+    follows = F.lead("text").over(Window.partitionBy("part").orderBy("id", "text"))
+    found = rows.withColumn("follows", follows).join(heads, "part", "left")
+    next_text = F.coalesce("follows", "after")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     return found.select(
         "id",
         "text",
         n.cast("bigint").alias("n_chars"),
-        F.concat(
-            F.left("text", n - half), F.left(F.coalesce("next_text", F.lit("")), half)
-        ).alias("edited"),
-        F.coalesce("next_text", F.lit("")).alias("next_text"),
+        F.concat(F.left("text", n - half), F.left(next_text, half)).alias("edited"),
+        next_text.alias("next_text"),
     )
 
 
