@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm import fingerprints, line_dedup, quality, simhash, toxicity
+from loomgrid.llm import fingerprints, language, line_dedup, pieces, quality, simhash, toxicity
 from loomgrid.llm.rows import documents, labels
 
 
@@ -31,6 +32,18 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all texts, learned from documents that are not held out."""
+    labelled = language.with_language(documents(spark, sf_dir))
+    return labelled.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all texts, what they decode to, and where the pieces end in the text."""
+    encoded = pieces.with_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_crc32")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all texts and the components of their near-duplicate links."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -44,6 +57,8 @@ QUERIES = {
         op2_toxicity,
         op3_quality,
         op5_fingerprints,
+        op8_language,
+        op9_sentencepiece,
         op10_simhash_near_dedup,
     )
 }
