@@ -5,7 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm import fingerprints, language, line_dedup, pieces, quality, simhash, toxicity
+from loomgrid.llm import (
+    fertility,
+    fingerprints,
+    language,
+    line_dedup,
+    packing,
+    pieces,
+    quality,
+    simhash,
+    toxicity,
+)
 from loomgrid.llm.rows import documents, labels
 
 
@@ -32,6 +42,21 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences of at most 1024 ids."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, figures of two public vocabularies and the verdict for all texts."""
+    judged = fertility.judge(
+        documents(spark, sf_dir).select("doc_id", "text", "lang"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return judged.drop("lang")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all texts, learned from documents that are not held out."""
     labelled = language.with_language(documents(spark, sf_dir))
@@ -57,6 +82,8 @@ QUERIES = {
         op2_toxicity,
         op3_quality,
         op5_fingerprints,
+        op6_best_fit_packing,
+        op7_fertility_rules,
         op8_language,
         op9_sentencepiece,
         op10_simhash_near_dedup,
