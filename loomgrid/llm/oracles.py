@@ -24,4 +24,18 @@ SELECT docs.doc_id, docs.source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dro
 FROM docs LEFT JOIN kept ON docs.doc_id = kept.doc_id
 """
 
-ORACLES = {"op1_line_dedup": OP1}
+OP4 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest FROM p
+), k AS (
+  SELECT payload_digest, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, d.payload_digest,
+  CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper > page_id THEN keeper END AS refers_to, true AS intact
+FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op4_warc": OP4}

@@ -15,8 +15,9 @@ from loomgrid.llm import (
     quality,
     simhash,
     toxicity,
+    warc,
 )
-from loomgrid.llm.rows import documents, labels
+from loomgrid.llm.rows import documents, labels, pages
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all pages, written as archives and read back."""
+    return warc.archive_and_read(pages(spark, sf_dir))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of all texts and of their edited forms, with likenesses."""
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
@@ -81,6 +87,7 @@ QUERIES = {
         op1_line_dedup,
         op2_toxicity,
         op3_quality,
+        op4_warc,
         op5_fingerprints,
         op6_best_fit_packing,
         op7_fertility_rules,

@@ -18,6 +18,10 @@ def labels(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def pages(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def wrap(df: DataFrame, **named: Column | str) -> DataFrame:
     """The whole row as one struct beside the named inputs, so that no name can clash."""
     inputs = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in named.items()]
