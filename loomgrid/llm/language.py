@@ -269,7 +269,7 @@ def with_language(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
 
 
 def keep_sure(
-    df: DataFrame, least: float = 0.4, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+    df: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
     """Rows whose language is known, with a mean probability of ``least`` at least."""
     rows = wrap(df, doc_id=doc_id, text=text, lang=lang).withColumnRenamed("_row", "_doc")
