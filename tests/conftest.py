@@ -2,6 +2,7 @@ import datetime
 import math
 import os
 import sys
+import zoneinfo
 
 import numpy as np
 import pandas as pd
@@ -9,14 +10,30 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from loomgrid.config import SeriesSpec  # noqa: E402
+from loomgrid.config import TIME_ZONE, SeriesSpec  # noqa: E402
 from loomgrid.operators import cleaning, grid  # noqa: E402
 from loomgrid.schemas import SILVER  # noqa: E402
 from loomgrid.session import local_session  # noqa: E402
 
 HOURLY = SeriesSpec()
-FALL_2022 = datetime.date(2022, 10, 30)
-SPRING_2022 = datetime.date(2022, 4, 3)
+
+
+def local_hours(day):
+    """Hours of a local day, by the zone rules of the standard library."""
+    zone = zoneinfo.ZoneInfo(TIME_ZONE)
+    ends = [datetime.datetime.combine(day + datetime.timedelta(n), datetime.time(), zone) for n in (0, 1)]
+    return round((ends[1].timestamp() - ends[0].timestamp()) / 3600)
+
+
+def days_of(first_year, last_year):
+    day = datetime.date(first_year, 1, 1)
+    while day.year <= last_year:
+        yield day
+        day += datetime.timedelta(days=1)
+
+
+SHORT_DAY = next(d for d in days_of(2022, 2022) if local_hours(d) == 23)
+LONG_DAY = next(d for d in days_of(2021, 2021) if local_hours(d) == 25)
 
 
 @pytest.fixture(scope="session")
@@ -24,19 +41,18 @@ def spark():
     return local_session(4, 4)
 
 
-def make_records(node, start, days, drop=(), level=800.0, seed=0):
-    """Price records of one node: an evening bump, noise, and short or long days."""
-    rng = np.random.default_rng(seed)
+def price_days(node, start, days, holes=(), base=400.0, seed=0):
+    """Records of one node: two daily humps, a weekly swing and noise; no record in a hole."""
+    noise = np.random.default_rng([seed, 17]).uniform(-12.0, 12.0, (days, 25))
     out = []
     for i in range(days):
         day = start + datetime.timedelta(days=i)
-        hours = 23 if day == SPRING_2022 else 25 if day == FALL_2022 else 24
-        for hora in range(1, hours + 1):
-            price = level + 300 * math.exp(-((hora - 19) ** 2) / 8) + 50 * rng.standard_normal()
-            if (day, hora) in drop:
-                continue
-            ene, per = 0.9 * price, 0.05 * price
-            out.append((node, day, hora, price, ene, per, price - ene - per))
+        swing = 40.0 * math.sin(2 * math.pi * day.weekday() / 7)
+        for hora in range(1, local_hours(day) + 1):
+            if (day, hora) not in holes:
+                hump = 90.0 * math.sin(math.pi * hora / 6) ** 2
+                price = base + swing + hump + float(noise[i, hora - 1])
+                out.append((node, day, hora, price, price - 30.0, 20.0, 10.0))
     return out
 
 
@@ -75,26 +91,31 @@ def from_pandas(spark, frame, folder):
     return spark.read.schema(SILVER).parquet(path)
 
 
+def hours_from(day, first, count):
+    """(day, hora) of so many normal hours from the first one on."""
+    at = datetime.datetime.combine(day, datetime.time(first - 1))
+    steps = (at + datetime.timedelta(hours=k) for k in range(count))
+    return {(t.date(), t.hour + 1) for t in steps}
+
+
 @pytest.fixture(scope="session")
-def silver_small(spark):
-    """Three nodes over 240 days; the first one has a short and a long gap."""
-    start = datetime.date(2022, 3, 15)
-    d = datetime.date
-    drop = {(d(2022, 5, 10), 5), (d(2022, 5, 10), 6)}
-    drop |= {(d(2022, 6, 1), h) for h in range(10, 25)} | {(d(2022, 6, 2), h) for h in range(1, 16)}
-    rows = make_records("07PNC-115", start, 240, drop, seed=1)
-    rows += make_records("07MRD-230", start, 240, level=900.0, seed=2)
-    rows += make_records("07CUN-400", start, 240, level=1000.0, seed=3)
+def three_series(spark):
+    """Three nodes over 236 days with both kinds of transition; one has a short and a long gap."""
+    start = datetime.date(2021, 10, 4)
+    holes = hours_from(datetime.date(2021, 12, 7), 9, 3) | hours_from(datetime.date(2022, 1, 20), 12, 26)
+    rows = price_days("SUN-3", start, 236, holes, seed=5)
+    rows += price_days("KITE-2", start, 236, base=520.0, seed=6)
+    rows += price_days("DAM-1", start, 236, base=610.0, seed=7)
     built = grid.build_grid(hourly_rows(spark, rows), HOURLY)
     return built.cache()
 
 
 @pytest.fixture(scope="session")
-def catalog_small(spark):
+def three_nodes(spark):
     rows = [
-        ("07PNC-115", "SIN", "PENINSULAR", "MERIDA", 115.0),
-        ("07MRD-230", "SIN", "PENINSULAR", "MERIDA", 230.0),
-        ("07CUN-400", "SIN", "PENINSULAR", "CANCUN", 400.0),
+        ("SUN-3", "SIN", "ORIENTAL", "NORTHSHORE", 115.0),
+        ("KITE-2", "SIN", "ORIENTAL", "NORTHSHORE", 230.0),
+        ("DAM-1", "SIN", "ORIENTAL", "BAYSIDE", 400.0),
     ]
     return spark.createDataFrame(
         rows, "node string, sistema string, region string, zone string, kv double"

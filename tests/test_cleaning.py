@@ -3,7 +3,16 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import FALL_2022, HOURLY, SPRING_2022, from_pandas, hourly_rows, records_frame
+from conftest import (
+    HOURLY,
+    LONG_DAY,
+    SHORT_DAY,
+    days_of,
+    from_pandas,
+    hourly_rows,
+    local_hours,
+    records_frame,
+)
 
 from loomgrid.functions import calendar, clock
 from loomgrid.operators import cleaning, grid
@@ -24,30 +33,29 @@ def by_slot(rows):
 def test_transition_days(spark):
     days = calendar.dst_days(spark, 2016, 2026).collect()
     found = {(r["fecha"].isoformat(), r["kind"]) for r in days}
-    # Transition days of the zone since 2016.
-    spring = "2016-04-03 2017-04-02 2018-04-01 2019-04-07 2020-04-05 2021-04-04 2022-04-03"
-    fall = "2016-10-30 2017-10-29 2018-10-28 2019-10-27 2020-10-25 2021-10-31 2022-10-30"
-    assert found == {(d, "spring") for d in spring.split()} | {(d, "fall") for d in fall.split()}
+    kinds = {23: "spring", 25: "fall"}
+    want = {(d.isoformat(), kinds[local_hours(d)]) for d in days_of(2016, 2026) if local_hours(d) != 24}
+    assert found == want and len(found) == 14
 
 
 def test_spring_day_gets_a_filled_slot(spark):
-    slots = by_slot(hourly_rows(spark, day_records(SPRING_2022, range(1, 24))))
+    slots = by_slot(hourly_rows(spark, day_records(SHORT_DAY, range(1, 24))))
     assert sorted(slots) == list(range(1, 25))
     assert (slots[3]["pml"], slots[3]["quality"], slots[3]["source_hora"]) == (250.0, "dst_fill", None)
     assert (slots[4]["pml"], slots[4]["source_hora"]) == (300.0, 3)
     assert slots[24]["source_hora"] == 23
-    assert slots[4]["ts_local"] == datetime.datetime(2022, 4, 3, 3)
+    assert slots[4]["ts_local"] == datetime.datetime.combine(SHORT_DAY, datetime.time(3))
 
 
 def test_fall_day_merges_the_repeated_hour(spark):
-    slots = by_slot(hourly_rows(spark, day_records(FALL_2022, range(1, 26))))
+    slots = by_slot(hourly_rows(spark, day_records(LONG_DAY, range(1, 26))))
     assert sorted(slots) == list(range(1, 25))
     assert (slots[2]["pml"], slots[2]["quality"], slots[2]["source_hora"]) == (250.0, "dst_merge", 2)
     assert slots[3]["source_hora"] == 4 and slots[24]["source_hora"] == 25
 
 
 @pytest.mark.parametrize(
-    "day,hours", [(SPRING_2022, range(1, 23)), (FALL_2022, range(1, 25)), (FALL_2022, range(2, 26))]
+    "day,hours", [(SHORT_DAY, range(1, 23)), (LONG_DAY, range(1, 25)), (LONG_DAY, range(2, 26))]
 )
 def test_odd_counts_are_kept_as_normal_days(spark, day, hours):
     slots = by_slot(hourly_rows(spark, day_records(day, hours)))
@@ -56,8 +64,8 @@ def test_odd_counts_are_kept_as_normal_days(spark, day, hours):
 
 
 def test_null_neighbour_gives_null_fill(spark):
-    rows = day_records(SPRING_2022, range(1, 24))
-    rows[1] = ("N", SPRING_2022, 2, None, 1.0, 1.0, 1.0)
+    rows = day_records(SHORT_DAY, range(1, 24))
+    rows[1] = ("N", SHORT_DAY, 2, None, 1.0, 1.0, 1.0)
     slots = by_slot(hourly_rows(spark, rows))
     assert slots[3]["pml"] is None and slots[3]["pml_ene"] == (1.0 + 270.0) / 2
 
@@ -148,13 +156,13 @@ def test_grid_matches_brute_force(spark, tmp_path, seed, chunk, max_interp):
     )
 
 
-def test_small_silver_qualities_and_gaps(silver_small):
-    gappy = silver_small.where("node = '07PNC-115'")
+def test_small_silver_qualities_and_gaps(three_series):
+    gappy = three_series.where("node = 'SUN-3'")
     counts = {r["quality"]: r["count"] for r in gappy.groupBy("quality").count().collect()}
-    assert counts["interp"] == 2 and counts["missing"] == 30
+    assert counts["interp"] == 3 and counts["missing"] == 26
     assert counts["dst_fill"] == 1 and counts["dst_merge"] == 1
-    gaps = grid.gap_table(silver_small, HOURLY).collect()
-    assert sorted((g["kind"], g["n_hours"]) for g in gaps) == [("interp", 2), ("missing", 30)]
+    gaps = grid.gap_table(three_series, HOURLY).collect()
+    assert sorted((g["kind"], g["n_hours"]) for g in gaps) == [("interp", 3), ("missing", 26)]
     assert gappy.where("quality IN ('interp','missing') AND source_hora IS NOT NULL").count() == 0
 
 

@@ -16,24 +16,24 @@ SETTINGS = Settings(test_months=1, val_days=14)
 
 
 @pytest.fixture(scope="module")
-def ds(silver_small, catalog_small):
-    return dataset.build_dataset(silver_small, catalog_small, "small", HOURLY, SETTINGS)
+def ds(three_series, three_nodes):
+    return dataset.build_dataset(three_series, three_nodes, "small", HOURLY, SETTINGS)
 
 
-def test_naive_forecasts_read_the_right_days(ds, silver_small):
-    s = ds.samples.where("node = '07CUN-400'").orderBy("origin_date").first()
+def test_naive_forecasts_read_the_right_days(ds, three_series):
+    s = ds.samples.where("node = 'DAM-1'").orderBy("origin_date").first()
     day = lambda d: [
-        r["pml"] for r in silver_small.where("node = '07CUN-400'").where(
+        r["pml"] for r in three_series.where("node = 'DAM-1'").where(
             F.col("fecha") == F.lit(d)).orderBy("hora").collect()]
     assert s["last_block"] == day(s["origin_date"])
     assert s["week_block"] == day(s["origin_date"] - datetime.timedelta(days=6))
     assert s["week_block"] == day(s["target_date"] - datetime.timedelta(days=7))
 
 
-def test_week_block_is_there_for_short_windows(silver_small):
+def test_week_block_is_there_for_short_windows(three_series):
     short = Settings(input_blocks=3)
     row = dataset.build_dataset(
-        silver_small, None, "short", HOURLY, short, nodes=["07MRD-230"], staged=False
+        three_series, None, "short", HOURLY, short, nodes=["KITE-2"], staged=False
     ).samples.orderBy("origin_date").first()
     assert len(row["week_block"]) == 24 and len(row["X_seq"]) == 72
 
@@ -111,8 +111,8 @@ def test_supplied_model_is_loaded_and_inverted(ds):
     assert row["y_pred"] == pytest.approx([row["mu"]] * 24)
 
 
-def test_run_all_and_stored_predictions(spark, ds, silver_small, tmp_path):
-    forecasts = baselines.run_all(ds, silver_small)
+def test_run_all_and_stored_predictions(spark, ds, three_series, tmp_path):
+    forecasts = baselines.run_all(ds, three_series)
     n = ds.positions("test").count()
     table = {r["model_name"]: r for r in baselines.summary_table(baselines.summaries(forecasts)).collect()}
     assert set(table) == set(forecasters.BASELINES)
@@ -124,7 +124,7 @@ def test_run_all_and_stored_predictions(spark, ds, silver_small, tmp_path):
     gold.write_predictions(long.where("model_name = 'naive24'"), path)
     back = gold.read_predictions(spark, path)
     assert back.count() == 4 * n * 24
-    one = gold.read_predictions(spark, path, ["naive24", "absent"], ["07MRD-230"])
+    one = gold.read_predictions(spark, path, ["naive24", "absent"], ["KITE-2"])
     assert {r[0] for r in one.select("model_name").distinct().collect()} == {"naive24"}
     report = baselines.evaluation_report(ds, forecasts, list(forecasters.BASELINES))
     assert report.headline.first()["n_samples"] == n
@@ -135,13 +135,13 @@ def test_run_all_and_stored_predictions(spark, ds, silver_small, tmp_path):
 
 def test_fold_matrices_equal_a_direct_fit(ds):
     rows, p = selection._ridge_rows(ds)
-    rows = rows.withColumn("held", F.when(F.col("zone") == "MERIDA", "MERIDA").otherwise("~rest"))
+    rows = rows.withColumn("held", F.when(F.col("zone") == "NORTHSHORE", "NORTHSHORE").otherwise("~rest"))
     strata = ["split", "held"]
     fit = rows.where("split <> 'test'")
     grams = forecasters.collect_grams(forecasters.gram_table(fit, strata, p, 24), strata)
     direct = forecasters.collect_grams(
-        forecasters.gram_table(fit.where("zone <> 'MERIDA'"), ["split"], p, 24), ["split"])
-    kept = sum(g for (s, h), g in grams.items() if s == "train" and h != "MERIDA")
+        forecasters.gram_table(fit.where("zone <> 'NORTHSHORE'"), ["split"], p, 24), ["split"])
+    kept = sum(g for (s, h), g in grams.items() if s == "train" and h != "NORTHSHORE")
     np.testing.assert_allclose(kept, direct[("train",)], rtol=1e-9, atol=1e-9)
 
 
@@ -149,7 +149,7 @@ def test_holdout_ablation_and_verdict(spark, ds):
     folds = selection.holdout(ds, "zone")
     rows = folds.collect()
     assert {r["model"] for r in rows} == {"history", "metadata", "naive24", "naive168"}
-    assert {r["held_out"] for r in rows} == {"MERIDA", "CANCUN"}
+    assert {r["held_out"] for r in rows} == {"NORTHSHORE", "BAYSIDE"}
     assert all(r["skill"] == pytest.approx(0.0) for r in rows if r["model"] == "naive168")
     verdict = selection.verdict(selection.ablation_table(folds)).first()
     assert verdict["regimes"] == 1

@@ -55,40 +55,40 @@ def test_strict_nulls_drop_observed_rows_without_price(spark):
 
 
 @pytest.fixture(scope="module")
-def ds(silver_small, catalog_small):
+def ds(three_series, three_nodes):
     settings = Settings(test_months=1, val_days=14)
-    return dataset.build_dataset(silver_small, catalog_small, "small", HOURLY, settings)
+    return dataset.build_dataset(three_series, three_nodes, "small", HOURLY, settings)
 
 
 def test_sample_count_of_a_clean_node(ds):
-    assert ds.samples.where("node = '07MRD-230'").count() == 214
+    assert ds.samples.where("node = 'KITE-2'").count() == 210
 
 
-def test_inputs_and_targets_match_the_series(ds, silver_small):
+def test_inputs_and_targets_match_the_series(ds, three_series):
     prices = {
         (r["node"], r["ts_local"]): r
-        for r in silver_small.where("node = '07CUN-400'").collect()
+        for r in three_series.where("node = 'DAM-1'").collect()
     }
-    for s in ds.samples.where("node = '07CUN-400'").orderBy("origin_date").limit(5).collect():
+    for s in ds.samples.where("node = 'DAM-1'").orderBy("origin_date").limit(5).collect():
         x = np.array(s["X_seq"])
         assert x.shape == (168, 9) and len(s["X_cal"]) == 10 and len(s["y"]) == 24
         start = datetime.datetime.combine(s["origin_date"], datetime.time()) - datetime.timedelta(days=6)
         for i in (0, 50, 167):
-            row = prices[("07CUN-400", start + datetime.timedelta(hours=i))]
+            row = prices[("DAM-1", start + datetime.timedelta(hours=i))]
             assert s["mu"] + s["sigma"] * x[i, 0] == pytest.approx(row["pml"], abs=0.05)
             assert s["comp_mu"][0] + s["sigma"] * x[i, 1] == pytest.approx(row["pml_ene"], abs=0.05)
         total = x[:, 1:4].sum(axis=1) * s["sigma"] + sum(s["comp_mu"])
         np.testing.assert_allclose(total, x[:, 0] * s["sigma"] + s["mu"], atol=0.1)
         target = datetime.datetime.combine(s["target_date"], datetime.time(10))
         assert s["mu"] + s["sigma"] * s["y"][10] == pytest.approx(
-            prices[("07CUN-400", target)]["pml"], abs=0.05
+            prices[("DAM-1", target)]["pml"], abs=0.05
         )
         assert np.argmax(s["X_cal"][:7]) == s["target_date"].weekday()
 
 
-def test_nothing_after_the_origin_reaches_the_inputs(silver_small):
-    cut = datetime.date(2022, 8, 1)
-    node = silver_small.where("node = '07MRD-230'")
+def test_nothing_after_the_origin_reaches_the_inputs(three_series):
+    cut = datetime.date(2022, 2, 15)
+    node = three_series.where("node = 'KITE-2'")
     changed = node.withColumn("pml", F.when(F.col("fecha") > F.lit(cut), 9e9).otherwise(F.col("pml")))
     columns = ["X_seq", "X_cal", "X_level", "mu", "sigma", "last_block", "week_block"]
     pick = lambda df: samples.build_samples(df, HOURLY).where(
@@ -102,7 +102,7 @@ def test_ids_are_dense_and_ordered(ds):
     rows = ds.samples.select("sample_id", "node", "origin_date", "node_idx").collect()
     ordered = sorted(rows, key=lambda r: (r["node"], r["origin_date"]))
     assert [r["sample_id"] for r in ordered] == list(range(len(rows)))
-    assert {r["node"]: r["node_idx"] for r in rows} == {"07CUN-400": 0, "07MRD-230": 1, "07PNC-115": 2}
+    assert {r["node"]: r["node_idx"] for r in rows} == {"DAM-1": 0, "KITE-2": 1, "SUN-3": 2}
 
 
 def test_splits_are_ordered(ds):
@@ -118,7 +118,7 @@ def test_splits_are_ordered(ds):
 
 def test_metadata_row(ds):
     meta = ds.meta.first()
-    assert meta["zone_vocab"] == {"UNKNOWN": 0, "CANCUN": 1, "MERIDA": 2}
+    assert meta["zone_vocab"] == {"UNKNOWN": 0, "BAYSIDE": 1, "NORTHSHORE": 2}
     assert meta["voltage_log_mean"] == pytest.approx(np.log([115, 230, 400]).mean())
     assert meta["n_samples"]["test"] == ds.positions("test").count()
     assert meta["scaling"]["window_days"] == 28
@@ -126,15 +126,15 @@ def test_metadata_row(ds):
 
 def test_folds(ds):
     nodes = splits.node_folds(ds.index).orderBy("fold").collect()
-    assert [r["held_out"] for r in nodes] == ["07MRD-230", "07PNC-115"]
+    assert [r["held_out"] for r in nodes] == ["KITE-2", "SUN-3"]
     zones = splits.zone_folds(ds.index)
-    assert [r["held_out"] for r in zones.orderBy("fold").collect()] == ["MERIDA", "CANCUN"]
+    assert [r["held_out"] for r in zones.orderBy("fold").collect()] == ["NORTHSHORE", "BAYSIDE"]
     roles = splits.fold_roles(ds.index, zones, "zone").collect()
     for r in roles:
         assert (r["zone"] == r["held_out"]) == (r["role"] == "test")
     counts = {r["held_out"]: r for r in splits.fold_counts(ds.index, zones, "zone").collect()}
-    assert counts["MERIDA"]["n_test"] == sum(
-        r["role"] == "test" and r["held_out"] == "MERIDA" for r in roles)
+    assert counts["NORTHSHORE"]["n_test"] == sum(
+        r["role"] == "test" and r["held_out"] == "NORTHSHORE" for r in roles)
 
 
 def test_model_inputs_and_zone_override(ds):
@@ -158,14 +158,14 @@ def test_dataset_round_trip(spark, ds, tmp_path):
     assert a == b
 
 
-def test_whole_block_check(spark, silver_small):
-    assert samples.assert_whole_blocks(silver_small, HOURLY).isEmpty()
-    assert not samples.assert_whole_blocks(silver_small.where("hora <> 7"), HOURLY).isEmpty()
+def test_whole_block_check(spark, three_series):
+    assert samples.assert_whole_blocks(three_series, HOURLY).isEmpty()
+    assert not samples.assert_whole_blocks(three_series.where("hora <> 7"), HOURLY).isEmpty()
 
 
-def test_unknown_entities_get_default_metadata(silver_small, catalog_small):
-    known = catalog_small.where("node = '07CUN-400'")
-    rows = samples.node_metadata(silver_small.select("node").distinct(), known, HOURLY).collect()
+def test_unknown_entities_get_default_metadata(three_series, three_nodes):
+    known = three_nodes.where("node = 'DAM-1'")
+    rows = samples.node_metadata(three_series.select("node").distinct(), known, HOURLY).collect()
     by = {r["node"]: r for r in rows}
-    assert by["07MRD-230"]["region"] == "UNKNOWN" and by["07MRD-230"]["kv"] is None
-    assert by["07CUN-400"]["zone"] == "CANCUN"
+    assert by["KITE-2"]["region"] == "UNKNOWN" and by["KITE-2"]["kv"] is None
+    assert by["DAM-1"]["zone"] == "BAYSIDE"

@@ -4,7 +4,7 @@ import json
 
 import numpy as np
 import pytest
-from conftest import HOURLY, hourly_rows, make_records
+from conftest import HOURLY, hourly_rows, price_days
 from pyspark.sql import functions as F
 
 from loomgrid.config import SeriesSpec
@@ -59,16 +59,16 @@ def test_catalog_versions(spark, catalog_file, tmp_path):
     assert catalog.stored_catalog(spark, path, "20240305").count() == 4
 
 
-def test_node_lists(spark, tmp_path, catalog_small):
+def test_node_lists(spark, tmp_path, three_nodes):
     named, bare = tmp_path / "named.csv", tmp_path / "bare.csv"
     named.write_text("region,node\nx, A \ny,B\n")
     bare.write_text("A,1\n\nB,2\n")
     for path in (named, bare):
         assert sorted(r["node"] for r in catalog.read_node_list(spark, str(path)).collect()) == ["A", "B"]
     out = str(tmp_path / "list")
-    catalog.write_node_list(catalog_small, out)
+    catalog.write_node_list(three_nodes, out)
     back = spark.read.option("header", True).csv(out).collect()
-    assert [r["node"] for r in back] == ["07CUN-400", "07MRD-230", "07PNC-115"]
+    assert [r["node"] for r in back] == ["DAM-1", "KITE-2", "SUN-3"]
 
 
 def greedy(rows, quotas):
@@ -192,7 +192,7 @@ SERIES = SeriesSpec(keys=("market", "node"))
 def test_merge_is_idempotent_and_keeps_stored_rows(spark, tmp_path):
     path = str(tmp_path / "silver")
     start = datetime.date(2024, 1, 1)
-    week1 = hourly_rows(spark, make_records("A", start, 7, seed=1) + make_records("B", start, 7, seed=2))
+    week1 = hourly_rows(spark, price_days("A", start, 7, seed=1) + price_days("B", start, 7, seed=2))
     silver.upsert_silver(spark, path, week1, SERIES)
     read = lambda **kw: silver.read_silver(spark, path, **kw).orderBy("node", "ts_local")
     columns = ["node", "ts_local", "pml", "quality"]
@@ -201,7 +201,7 @@ def test_merge_is_idempotent_and_keeps_stored_rows(spark, tmp_path):
     changed = week1.where("node = 'A'").withColumn("pml", F.lit(-1.0))
     silver.upsert_silver(spark, path, changed, SERIES)
     assert read().select(*columns).collect() == once
-    week3 = hourly_rows(spark, make_records("A", start + datetime.timedelta(days=14), 7, seed=3))
+    week3 = hourly_rows(spark, price_days("A", start + datetime.timedelta(days=14), 7, seed=3))
     silver.upsert_silver(spark, path, week3, SERIES)
     a = read(nodes=["A"])
     assert a.count() == 504 and a.where("quality = 'missing'").count() == 168
@@ -217,7 +217,7 @@ def test_merge_is_idempotent_and_keeps_stored_rows(spark, tmp_path):
 
 def test_reads_prune_partitions(spark, tmp_path):
     path = str(tmp_path / "silver")
-    rows = hourly_rows(spark, make_records("A", datetime.date(2023, 12, 30), 5))
+    rows = hourly_rows(spark, price_days("A", datetime.date(2023, 12, 30), 5))
     silver.upsert_silver(spark, path, rows, SERIES)
     one = silver.read_silver(spark, path, nodes=["A"], start="2024-01-01", columns=["pml"])
     plan = one._jdf.queryExecution().executedPlan().toString()

@@ -14,10 +14,10 @@ OK = ["ok"] * 24
 
 
 @pytest.mark.parametrize("chunk", [5, 64])
-def test_rolling_stats_match_brute_force(silver_small, chunk):
+def test_rolling_stats_match_brute_force(three_series, chunk):
     spec = HOURLY.with_chunks(chunk)
-    got = stats.rolling_stats(silver_small, spec).toPandas()
-    rows = silver_small.toPandas().sort_values(["node", "ts_local"])
+    got = stats.rolling_stats(three_series, spec).toPandas()
+    rows = three_series.toPandas().sort_values(["node", "ts_local"])
     for node, g in rows.groupby("node"):
         price = g.set_index("ts_local")["pml"].astype(float)
         roll = price.rolling(672, min_periods=605)
@@ -90,17 +90,18 @@ def test_numbers_follow_key_order(spark):
         assert [got[(g, k)] for k in ordered] == list(range(len(ordered)))
 
 
-def test_coverage_and_quality_tables(silver_small):
-    table = {r["node"]: r for r in coverage.coverage_table(silver_small, HOURLY).collect()}
-    assert table["07MRD-230"]["days"] == 240 and table["07MRD-230"]["full_days"] == 240
-    # two short-gap hours on one day and thirty over two days leave three days open
-    assert table["07PNC-115"]["full_days"] == 237
-    dst = quality.dst_rows(silver_small, HOURLY).collect()
-    assert all((r["year"], r["dst_fill"], r["dst_merge"]) == (2022, 1, 1) for r in dst) and len(dst) == 3
-    report = quality.quality_report(silver_small, HOURLY)
-    assert report.headline.first()["n_rows"] == 3 * 240 * 24
+def test_coverage_and_quality_tables(three_series):
+    table = {r["node"]: r for r in coverage.coverage_table(three_series, HOURLY).collect()}
+    assert table["KITE-2"]["days"] == 236 and table["KITE-2"]["full_days"] == 236
+    # a short gap on one day and a long one over two days leave three days open
+    assert table["SUN-3"]["full_days"] == 233
+    dst = quality.dst_rows(three_series, HOURLY).collect()
+    found = sorted((r["year"], r["dst_fill"], r["dst_merge"]) for r in dst)
+    assert found == [(2021, 0, 1)] * 3 + [(2022, 1, 0)] * 3
+    report = quality.quality_report(three_series, HOURLY)
+    assert report.headline.first()["n_rows"] == 3 * 236 * 24
     head = report.gap_headline.first()
-    assert (head["n_runs"], head["longest_missing"], head["n_interp_runs"]) == (2, 30, 1)
+    assert (head["n_runs"], head["longest_missing"], head["n_interp_runs"]) == (2, 26, 1)
     assert report.sigma.first()["recommendation"] == "sigma_over_1000"
 
 
