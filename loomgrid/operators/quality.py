@@ -62,8 +62,13 @@ def spike_summary(
     ).agg(F.count_if("is_spike").alias("spike_days"))
 
 
-def spike_pivot(spikes: DataFrame, spec: SeriesSpec, years: list[int]) -> DataFrame:
-    """Series by year, zero filled."""
+def spike_pivot(
+    spikes: DataFrame, spec: SeriesSpec, years: list[int] | None = None
+) -> DataFrame:
+    """Series by year, zero filled; all years from the first to the last one unless given."""
+    if years is None:
+        first, last = spikes.agg(F.min("year"), F.max("year")).first()
+        years = list(range(first, last + 1)) if first is not None else []
     return spikes.groupBy(*spec.keys).pivot("year", years).agg(F.sum("spike_days")).na.fill(0)
 
 

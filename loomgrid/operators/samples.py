@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgrid.config import REGIONS, UNKNOWN, SeriesSpec, Settings
 from loomgrid.functions import calendar, clock, encoding, scaling
 from loomgrid.operators.chunks import chunk_keys, chunk_window, with_halo
+from loomgrid.operators.numbering import ranged
 from loomgrid.operators.stats import (
     STAT_COLUMNS,
     block_partials,
@@ -221,42 +222,36 @@ def assert_whole_blocks(silver: DataFrame, spec: SeriesSpec) -> DataFrame:
 def dense_ids(samples: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Number samples 0..n-1 in (keys, origin) order without a global sort.
 
-    Counts are summed up level by level (chunk, series, key prefix), so the only
-    unpartitioned window sees one row per three-character key prefix. A sample's id
-    is the start of its chunk plus its rank there, so the wide rows only meet the
-    small table of chunk starts.
+    Series are numbered in range partitions of their keys, chunks inside their series, so the
+    only unpartitioned window sees one row per range partition. A sample's id is the start of
+    its chunk plus its rank there, and the wide rows only meet the small table of chunk starts.
     """
     keys, chunk = list(spec.keys), chunk_keys(spec)
     chunks = samples.groupBy(*chunk).agg((F.max("rank_in_chunk") + 1).alias("n"))
     along = Window.partitionBy(*keys).orderBy("chunk")
     chunks = chunks.withColumn("in_series", F.sum("n").over(along) - F.col("n"))
-    series = chunks.groupBy(*keys).agg(F.sum("n").alias("total"))
-    series = series.withColumn("prefix", F.substring(F.col(keys[0]).cast("string"), 1, 3))
-    inside = Window.partitionBy("prefix").orderBy(*keys)
-    series = series.withColumns(
-        {
-            "in_prefix": F.sum("total").over(inside) - F.col("total"),
-            "rank_in_prefix": F.row_number().over(inside) - 1,
-        }
-    )
-    prefixes = series.groupBy("prefix").agg(
-        F.sum("total").alias("p_total"), F.count("*").alias("p_series")
+    series = ranged(chunks.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
+    parts = series.groupBy("_part").agg(F.sum("total").alias("n"), F.count("*").alias("k"))
+    whole = Window.partitionBy(F.lit(0)).orderBy("_part")
+    parts = parts.select(
+        "_part",
+        (F.sum("n").over(whole) - F.col("n")).alias("part_start"),
+        (F.sum("k").over(whole) - F.col("k")).alias("part_rank"),
     )
-    whole = Window.orderBy("prefix")
-    prefixes = prefixes.select(
-        "prefix",
-        (F.sum("p_total").over(whole) - F.col("p_total")).alias("p_start"),
-        (F.sum("p_series").over(whole) - F.col("p_series")).alias("p_rank"),
-    )
-    starts = (
-        chunks.join(series.select(*keys, "prefix", "in_prefix", "rank_in_prefix"), keys)
-        .join(prefixes, "prefix")
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    series = (
+        series.withColumn("in_part", F.sum("total").over(inside) - F.col("total"))
+        .withColumn("rank_in_part", F.row_number().over(inside) - 1)
+        .join(parts, "_part")
         .select(
-            *chunk,
-            (F.col("p_start") + F.col("in_prefix") + F.col("in_series")).alias("start"),
-            (F.col("p_rank") + F.col("rank_in_prefix")).cast("int").alias("node_idx"),
+            *keys,
+            (F.col("part_start") + F.col("in_part")).alias("series_start"),
+            (F.col("part_rank") + F.col("rank_in_part")).cast("int").alias("node_idx"),
         )
     )
+    starts = chunks.join(series, keys).select(
+        *chunk, (F.col("series_start") + F.col("in_series")).alias("start"), "node_idx"
+    )
     return (
         samples.join(starts, chunk)
         .withColumn("sample_id", (F.col("start") + F.col("rank_in_chunk")).cast("bigint"))

@@ -129,7 +129,15 @@ def fold_roles(index: DataFrame, folds: DataFrame, by: str) -> DataFrame:
     return tagged.withColumn("role", role).where(F.col("role").isNotNull())
 
 
-def zone_dropout(samples: DataFrame, rate: float, seed: int = 0) -> DataFrame:
-    """Replace the zone index by UNKNOWN (0) with probability ``rate``."""
-    keep = F.rand(seed) >= rate
+def zone_dropout(
+    samples: DataFrame, rate: float, seed: int = 0, key: tuple[str, ...] = ("sample_id",)
+) -> DataFrame:
+    """Replace the zone index by UNKNOWN (0) with probability ``rate``.
+
+    Drawn from a digest of the sample's key and the seed, so a rerun on another layout
+    draws the same.
+    """
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / 2**32
+    keep = draw >= rate
     return samples.withColumn("zone_idx", F.when(keep, F.col("zone_idx")).otherwise(F.lit(0)))

@@ -29,22 +29,25 @@ def next_targets(
     """Furthest forecastable day per node at a moment, or why there is none.
 
     That is the day after the last stored one, as long as today's block is stored.
-    ``newest`` is the day that should be published by then.
+    ``newest`` is the day that should be published by then. Every stored node gets a
+    row; ``last_day`` is null if its last day is beyond the history that a sample reads.
     """
     today = as_of.cast("date")
     horizon = F.date_add(today, spec.block_days)
-    recent = silver.where(
-        (F.col("fecha") >= F.date_sub(today, history_days(spec, settings)))
-        & (F.col("fecha") <= horizon)
+    recent = (F.col("fecha") >= F.date_sub(today, history_days(spec, settings))) & (
+        F.col("fecha") <= horizon
+    )
+    # two columns of the table are read; the maximum is combined before the shuffle
+    last = silver.groupBy(*spec.keys).agg(
+        F.max(F.when(recent, F.col("fecha"))).alias("last_day")
     )
-    last = recent.groupBy(*spec.keys).agg(F.max("fecha").alias("last_day"))
     newest = F.when(F.hour(as_of) >= PUBLISH_HOUR, horizon).otherwise(today)
-    fits = F.col("last_day") >= today
+    fits = F.coalesce(F.col("last_day") >= today, F.lit(False))
     return last.select(
         *spec.keys,
         "last_day",
         newest.alias("newest"),
-        (F.col("last_day") < newest).alias("is_late"),
+        F.coalesce(F.col("last_day") < newest, F.lit(True)).alias("is_late"),
         F.when(fits, F.date_add("last_day", spec.block_days)).alias("target_date"),
         F.when(~fits, "published history ends before today").alias("skip_reason"),
     )

@@ -189,7 +189,11 @@ def envelope_rows(
 def rebuild_silver(
     envelopes: DataFrame, spec: SeriesSpec, max_interp: int = 3, tz: str = TIME_ZONE
 ) -> DataFrame:
-    """Silver grids derived again from every envelope; the first path wins."""
+    """Silver grids derived again from every envelope; the first path wins.
+
+    Markets are kept apart whether or not the key names them.
+    """
+    spec = spec if "market" in spec.keys else replace(spec, keys=("market", *spec.keys))
     rows = envelope_rows(envelopes, spec, tz)
     unique = first_observed(rows, spec, ["path"])
     return build_grid(unique.select(*dict.fromkeys([*spec.keys, *SILVER_COLUMNS])), spec, max_interp)

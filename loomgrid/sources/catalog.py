@@ -232,14 +232,12 @@ def level_crosstab(selected: DataFrame) -> DataFrame:
 
 
 def level_pivot(selected: DataFrame, levels: list[float]) -> DataFrame:
-    """The cross table in wide form, one column per voltage level."""
-    return (
-        selected.groupBy("region")
-        .pivot("kv", levels)
-        .agg(F.count(F.lit(1)))
-        .na.fill(0)
-        .withColumn("total", sum((F.col(f"`{v}`") for v in levels), F.lit(0)))
-    )
+    """The cross table in wide form, one column per wanted voltage level.
+
+    ``total`` counts every node of the region, those of other or unknown levels too.
+    """
+    counts = [F.count_if(F.col("kv") == v).alias(str(v)) for v in levels]
+    return selected.groupBy("region").agg(*counts, F.count("*").alias("total"))
 
 
 def zone_coverage(selected: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.config import OBSERVED, SeriesSpec
+from loomgrid.config import OBSERVED, PRICES, SeriesSpec
 from loomgrid.operators.cleaning import first_observed
 from loomgrid.operators.grid import build_grid
 from loomgrid.schemas import SILVER_COLUMNS
@@ -78,16 +80,26 @@ def merge_observed(
     """Grid of existing and incoming observed rows; an existing row always wins.
 
     Derived rows are computed again from the observed ones, so applying the same
-    rows twice changes nothing.
+    rows twice changes nothing. Markets are kept apart whether or not the key names
+    them. Rows that are equal in priority and time are told apart by their prices.
     """
+    spec = by_market(spec, incoming)
     fresh = incoming.withColumn("priority", F.lit(1))
     rows = fresh if existing is None else existing.withColumn(
         "priority", F.lit(0)
     ).unionByName(fresh, allowMissingColumns=True)
-    unique = first_observed(rows, spec, ["priority", "ingested_at"])
+    order = ["priority", "ingested_at", *[c for c in PRICES if c in rows.columns]]
+    unique = first_observed(rows, spec, order)
     return build_grid(unique, spec, max_interp)
 
 
+def by_market(spec: SeriesSpec, rows: DataFrame) -> SeriesSpec:
+    """The series of each market on its own, where rows have a market."""
+    if "market" in spec.keys or "market" not in rows.columns:
+        return spec
+    return replace(spec, keys=("market", *spec.keys))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
