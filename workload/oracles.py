@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from loomgrid.config import SeriesSpec
 from workload import sql
-from workload.queries import OFF_TIES, PLAN, PLAN_EPOCH
+from workload.queries import PLAN, PLAN_EPOCH
 from workload.sql import clock, day_of, grid, labelled, measures, origins, scored, stamp, stats
 
 HOUR, HOUR_SET = clock("hourly")
@@ -32,10 +30,14 @@ def derived_runs(name: str, max_interp: int | None = None) -> str:
         arg_min(quality, slot) AS kind FROM derived GROUP BY node, run)"""
 
 
-ALIGN = f"""numbered AS (SELECT CAST(l_shipdate AS DATE) AS fecha, l_extendedprice AS pml,
-        row_number() OVER (PARTITION BY l_shipdate
-            ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS hora
-        FROM lineitem),
+ALIGN = f"""items AS (SELECT CAST(l_shipdate AS DATE) AS fecha, l_orderkey + 5 * l_linenumber AS s,
+        CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+        CAST(l_quantity AS BIGINT) % 8 AS more FROM lineitem),
+    spread AS (SELECT fecha, cents, unnest(range(s, s + more + 1)) %
+        CASE WHEN fecha IN ({dates(SPRING)}) THEN 23 WHEN fecha IN ({dates(FALL)}) THEN 25
+        ELSE 24 END + 1 AS hora FROM items),
+    numbered AS (SELECT fecha, hora, CAST(sum(cents) AS BIGINT) / count(*) / 100 AS pml
+        FROM spread GROUP BY 1, 2),
     kinds AS (SELECT *, CASE WHEN fecha IN ({dates(SPRING)}) THEN 'spring'
         WHEN fecha IN ({dates(FALL)}) THEN 'fall' ELSE 'normal' END AS kind FROM numbered),
     records AS (SELECT *, count(*) OVER (PARTITION BY fecha) AS c FROM kinds
@@ -54,7 +56,7 @@ ALIGN = f"""numbered AS (SELECT CAST(l_shipdate AS DATE) AS fecha, l_extendedpri
 
 MERGE_OBS = """SELECT node, slot, arg_min(pml, pri) AS pml FROM (
         SELECT event_type AS node, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot,
-            avg(value) AS pml, 0 AS pri FROM events
+            CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / count(value) / 100 AS pml, 0 AS pri FROM events
             WHERE ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1, 2
         UNION ALL SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT), max(value), 1
             FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY 1, 2) GROUP BY 1, 2"""
@@ -396,6 +398,13 @@ ORACLES: dict[str, str] = {
         list_position(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'], t.region)
             AS region_position
         FROM tagged t LEFT JOIN zones z ON z.zone = t.zone CROSS JOIN scaler""",
+    "zone_dropout": f"""WITH {MONTH_NODES},
+        zones AS (SELECT zone, row_number() OVER (ORDER BY zone) AS zone_idx
+            FROM (SELECT DISTINCT zone FROM train)),
+        drawn AS (SELECT *, CAST('0x' || left(md5(concat_ws('|', node, origin_date, '0')), 8)
+            AS BIGINT) / 4294967296 AS draw FROM tagged)
+        SELECT t.node, origin_date, CASE WHEN draw >= 0.25 THEN coalesce(z.zone_idx, 0) ELSE 0 END
+            AS zone_idx FROM drawn t LEFT JOIN zones z ON z.zone = t.zone""",
     "dataset_facts": f"""WITH {MONTH_NODES},
         scaler AS (SELECT avg(ln(kv)) AS m, stddev_pop(ln(kv)) AS s,
             count(DISTINCT zone) AS zs, count(*) AS tn FROM train)
@@ -628,12 +637,16 @@ ORACLES: dict[str, str] = {
         'mae', 'top4_overlap', 'captured_value', 'skill_vs_naive24')} FROM scores
         ORDER BY target_date DESC, node LIMIT 1""",
     "next_targets": f"""WITH {grid('hourly')},
-        tail AS (SELECT node, max(fecha) AS last_day FROM grid GROUP BY 1)
+        tail AS (SELECT node, max(fecha) FILTER (fecha >= DATE '2024-01-30'
+                - {max(HOUR_SET.input_blocks, HOUR_SET.stats_blocks) + 1}) AS last_day FROM grid
+            WHERE NOT (node = 'click' AND fecha > DATE '2024-01-03')
+                AND NOT (node = 'view' AND fecha > DATE '2024-01-29')
+                AND fecha <= DATE '2024-01-31' GROUP BY 1)
         SELECT node, last_day, DATE '2024-01-31' AS newest,
-        CAST(last_day < DATE '2024-01-31' AS BIGINT) AS is_late,
+        CAST(coalesce(last_day < DATE '2024-01-31', true) AS BIGINT) AS is_late,
         CASE WHEN last_day >= DATE '2024-01-30' THEN last_day + 1 END AS target_date,
-        CASE WHEN last_day < DATE '2024-01-30' THEN 'published history ends before today' END
-            AS skip_reason FROM tail""",
+        CASE WHEN last_day IS NULL OR last_day < DATE '2024-01-30'
+            THEN 'published history ends before today' END AS skip_reason FROM tail""",
     "forecast_skips": f"""WITH {answers_sql()},
         found AS (SELECT r.node, r.target_date, max(d.fecha) AS last_day FROM req r
             LEFT JOIN day d ON d.node = r.node AND d.fecha <= r.target_date
@@ -646,8 +659,8 @@ ORACLES: dict[str, str] = {
             WHEN y.node IS NULL THEN 'too little clean history' END AS skip_reason
         FROM found f LEFT JOIN ready y ON y.node = f.node AND y.target_date = f.target_date""",
     "forecast_answers": f"""WITH {answers_sql()},
-        asked AS (SELECT y.* REPLACE (list_transform(y.prices, lambda v: floor(v + {OFF_TIES}))
-            AS prices) FROM ready y JOIN req USING (node, target_date)),
+        asked AS (SELECT y.* REPLACE (list_transform(y.prices,
+            lambda v: CAST(round(CAST(v AS DECIMAL(24, 10)), 2) AS DOUBLE)) AS prices) FROM ready y JOIN req USING (node, target_date)),
         sums AS (SELECT node, target_date, s, list_sum(list_slice(prices, s, s + 3)) AS total
             FROM (SELECT *, unnest(range(1, 5)) AS s FROM asked)),
         picks AS (SELECT node, target_date, min(s) FILTER (total = hi) AS b,
@@ -679,10 +692,3 @@ ORACLES["ablation"] = f"""WITH folds AS ({ORACLES['holdout_naive']})
     round(avg(top4_overlap), 4) AS top4_overlap, round(avg(mae_nospike), 4) AS mae_nospike
     FROM folds GROUP BY 1, 2"""
 
-
-def off_ties(text: str) -> str:
-    """Shift every value rounded to six digits like the queries do."""
-    return re.sub(r"(?<!range\(1)(?<!lag\(prices), 6\)", f" + {OFF_TIES!r}, 6)", text)
-
-
-ORACLES = {name: off_ties(text) for name, text in ORACLES.items()}

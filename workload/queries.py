@@ -50,11 +50,6 @@ def query(function: Query) -> Query:
     return run
 
 
-# Means of short decimals often end exactly between two rounded values, where the last bit
-# decides; a shift on both sides of the comparison moves them off that point.
-OFF_TIES = 1.234567e-7
-
-
 def tidy(df: DataFrame) -> DataFrame:
     """Plain output types: BIGINT, rounded DOUBLE, DATE and VARCHAR."""
     out = []
@@ -63,7 +58,7 @@ def tidy(df: DataFrame) -> DataFrame:
         if kind in ("int", "smallint", "bigint", "boolean"):
             c = c.cast("bigint")
         elif kind == "double":
-            c = F.round(c + OFF_TIES, 6)
+            c = F.round(c, 6)
         elif kind == "float":
             c = F.round(c.cast("double"), 4)
         elif kind.startswith("timestamp"):
@@ -202,26 +197,32 @@ def record_dedup(spark, sf):
     )
 
 
-def shipped_records(spark, sf) -> DataFrame:
-    """Line items of a day numbered like the hours of that day.
+def shipped_hours(spark, sf) -> DataFrame:
+    """Mean price of the line items in the hours of their shipping day.
 
-    The literal rank limit is applied before the shuffle, so a busy day never
-    reaches one task as a whole.
+    Every item takes as many of the day's hours in a row, wrapping around, as its quantity
+    modulo eight and one more. Sums are combined before the shuffle, in whole cents.
     """
     items = table(spark, sf, "lineitem")
     day = F.col("l_shipdate").cast("date")
-    place = F.row_number().over(
-        Window.partitionBy("l_shipdate").orderBy(
-            "l_orderkey", "l_linenumber", "l_extendedprice"
-        )
+    start = F.col("l_orderkey") + 5 * F.col("l_linenumber")
+    more = (F.col("l_quantity") % 8).cast("bigint")
+    spread = items.select(
+        day.alias("fecha"),
+        calendar.day_hours(day).cast("bigint").alias("hours"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+        F.explode(F.sequence(start, start + more)).alias("at"),
+    )
+    return spread.groupBy("fecha", (F.pmod("at", "hours") + 1).cast("int").alias("hora")).agg(
+        F.sum("cents").alias("cents"), F.count("*").alias("n")
     )
-    ranked = items.select(
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"
-    ).withColumn("hora", place).where(F.col("hora") <= 25)
-    price = F.col("l_extendedprice")
-    return ranked.where(F.col("hora") <= calendar.day_hours(day)).select(
+
+
+def shipped_records(spark, sf) -> DataFrame:
+    price = F.col("cents") / F.col("n") / 100
+    return shipped_hours(spark, sf).select(
         F.lit("ALL").alias("node"),
-        day.alias("fecha"),
+        "fecha",
         "hora",
         price.alias("pml"),
         (price * 0.9).alias("pml_ene"),
@@ -306,9 +307,8 @@ def spike_years(spark, sf):
 @query
 def spike_pivot(spark, sf):
     spikes = quality.spike_summary(weekly_silver(spark, sf), WEEKLY, WEEKLY_SETTINGS)
-    years = list(range(1995, 2002))
-    wide = quality.spike_pivot(spikes, WEEKLY, years)
-    return wide.select("node", *[F.col(str(y)).alias(f"y{y}") for y in years])
+    wide = quality.spike_pivot(spikes, WEEKLY)
+    return wide.select("node", *[F.col(y).alias(f"y{y}") for y in wide.columns if y.isdigit()])
 
 
 @query
@@ -560,7 +560,8 @@ def zone_dropout(spark, sf):
     rows = encoding.encode_zone(
         monthly_samples(spark, sf), encoding.zone_vocabulary(train_nodes(spark, sf))
     )
-    return splits.zone_dropout(rows, 0.25, 0).select("node", "origin_date", "zone_idx")
+    kept = splits.zone_dropout(rows, 0.25, 0, ("node", "origin_date"))
+    return kept.select("node", "origin_date", "zone_idx")
 
 
 @query
@@ -1113,8 +1114,13 @@ def latest_scored(spark, sf):
 
 @query
 def next_targets(spark, sf):
+    """One event type ends the day before, another one in the first days of the year."""
     as_of = F.lit("2024-01-30 19:00:00").cast("timestamp_ntz")
-    return daily.next_targets(hourly_silver(spark, sf), as_of, HOURLY, HOURLY_SETTINGS)
+    ends = F.when(F.col("node") == "click", F.lit("2024-01-03")).when(
+        F.col("node") == "view", F.lit("2024-01-29")
+    )
+    stored = hourly_silver(spark, sf).where(ends.isNull() | (F.col("fecha") <= ends.cast("date")))
+    return daily.next_targets(stored, as_of, HOURLY, HOURLY_SETTINGS)
 
 
 def weekly_requests(spark, sf) -> DataFrame:
@@ -1144,9 +1150,8 @@ def forecast_answers(spark, sf):
     stored = weekly_silver(spark, sf)
     built = daily.request_samples(requests, stored, WEEKLY, WEEKLY_SETTINGS)
     as_of = F.lit(AS_OF).cast("timestamp_ntz")
-    # whole prices, so that the two-digit rounding of the answer has no ties to break
-    whole = F.transform("last_block", lambda p: F.floor(p + OFF_TIES).cast("double"))
-    answers = daily.forecast_answers(built.withColumn("y_pred", whole), stored, as_of, WEEKLY)
+    built = built.withColumn("y_pred", F.col("last_block"))
+    answers = daily.forecast_answers(built, stored, as_of, WEEKLY)
     return answers.select(
         "node",
         "origin_date",

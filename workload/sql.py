@@ -15,11 +15,11 @@ from workload.series import (
 DAY_NUMBER = "datediff('day', DATE '1970-01-05', CAST(l_shipdate AS DATE))"
 OBSERVED = {
     "hourly": """SELECT event_type AS node, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot,
-        avg(value) AS pml FROM events GROUP BY 1, 2""",
+        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / count(value) / 100 AS pml FROM events GROUP BY 1, 2""",
     "weekly": f"""SELECT l_returnflag AS node, CAST({DAY_NUMBER} AS BIGINT) AS slot,
-        avg(l_extendedprice) AS pml FROM lineitem GROUP BY 1, 2""",
+        CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / count(l_extendedprice) / 100 AS pml FROM lineitem GROUP BY 1, 2""",
     "monthly": f"""SELECT n_name AS node, CAST({DAY_NUMBER} // 7 AS BIGINT) AS slot,
-        avg(l_extendedprice) AS pml
+        CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / count(l_extendedprice) / 100 AS pml
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
         JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2""",
 }
