@@ -77,8 +77,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all texts and the components of their near-duplicate links."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+    return simhash.component_table(documents(spark, sf_dir))
 
 
 QUERIES = {

@@ -194,21 +194,36 @@ def neighbour_links(prints: DataFrame, depth: int | None = None, tile: int = TIL
     return rows.mapInArrow(linked, "u bigint, v bigint")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
-    """``df`` with ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest id
-    that links of at most four differing bits reach."""
-    rows = wrap(df, id=doc_id, fp=simhash(F.col(text)))
-    narrow = stage(rows.select("id", "fp"), "prints")
-    prints = stage(narrow.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = connected(neighbour_links(prints.select("fp"), tile=tile))
-    member = prints.join(roots, prints["fp"] == roots["node"], "left").select(
+def components(prints: DataFrame, tile: int = TILE) -> DataFrame:
+    """(fp, component_id) of every fingerprint of ``prints (id, fp)``, a written table."""
+    distinct = stage(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    roots = connected(neighbour_links(distinct.select("fp"), tile=tile))
+    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     member = stage(member, "members")
     smallest = stage(member.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    found = stage(member.join(smallest, "root").select("fp", "component_id"), "found")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return unwrap(rows.join(found, "fp"), fingerprint=digits, component_id="component_id")
+    return stage(member.join(smallest, "root").select("fp", "component_id"), "found")
+
+
+def digits(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def component_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row: fingerprints as 16 hexadecimal digits, the
+    smallest id that links of at most four differing bits reach. Texts are read once."""
+    prints = docs.select(F.col(doc_id).alias("id"), simhash(F.col(text)).alias("fp"))
+    prints = stage(prints, "prints")
+    rows = prints.join(components(prints, tile), "fp")
+    return rows.select(F.col("id").alias("doc_id"), digits("fp").alias("fingerprint"), "component_id")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """``df`` with ``fingerprint`` and ``component_id``, on whole rows of any columns."""
+    rows = wrap(df, id=doc_id, fp=simhash(F.col(text)))
+    found = components(stage(rows.select("id", "fp"), "prints"), tile)
+    return unwrap(rows.join(found, "fp"), fingerprint=digits("fp"), component_id="component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
