@@ -29,7 +29,8 @@ MAX_ROWS = 1000
 WINDOW = 64
 WINDOWS_PER_ROW = 4
 UNITS = 8
-EPOCHS = 5
+#: steps of the training, whatever the size of the sample
+STEPS = 320
 BATCH = 256
 RATE = 0.01
 UNKNOWN = "und"
@@ -191,18 +192,19 @@ def train(rows: pd.DataFrame) -> Tagger | None:
     model, draw = Tagger(languages), np.random.default_rng(6)
     means = [np.zeros_like(w) for w in model.weights]
     squares = [np.zeros_like(w) for w in model.weights]
-    done, steps = 0, EPOCHS * -(-len(texts) // BATCH)
-    for _ in range(EPOCHS):
-        for pick in np.array_split(draw.permutation(len(texts)), -(-len(texts) // BATCH)):
-            grads = model.gradients(symbols[:, pick], filled[pick], language[pick])
-            size = np.sqrt(sum((g * g).sum() for g in grads))
-            done += 1
-            rate = RATE * (1.05 - done / steps)
-            for w, g, m, v in zip(model.weights, grads, means, squares):
-                g = g * min(1.0, 1.0 / (size + 1e-9))
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                w -= rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.999**done)) + 1e-8)
+    queue = np.array([], np.int64)
+    for done in range(1, STEPS + 1):
+        while len(queue) < min(BATCH, len(texts)):
+            queue = np.concatenate([queue, draw.permutation(len(texts))])
+        pick, queue = queue[:BATCH], queue[BATCH:]
+        grads = model.gradients(symbols[:, pick], filled[pick], language[pick])
+        size = np.sqrt(sum((g * g).sum() for g in grads))
+        rate = RATE * (1.05 - done / STEPS)
+        for w, g, m, v in zip(model.weights, grads, means, squares):
+            g = g * min(1.0, 1.0 / (size + 1e-9))
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            w -= rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.999**done)) + 1e-8)
     return model
 
 
