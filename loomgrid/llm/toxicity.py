@@ -27,7 +27,7 @@ from loomgrid.llm.wordhash import Words, chunks, find_words, mixed
 SLOT_BITS = 20
 MAX_ROWS = 4000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 #: a row of the rarer class counts as so many at most
 MOST_WEIGHT = 4.0
 #: distance of the second word, and a multiplier that sets the kinds of feature apart
