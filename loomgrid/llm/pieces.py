@@ -260,7 +260,7 @@ class PieceModel:
     def decode(self, ids: list[int]) -> str:
         told = [i for i in ids if self.kinds[i] != CONTROL]
         text = self.surface(told)
-        return text if told and told[0] in self.byte_of else self.begun(text)
+        return self.begun(text) if told and self.kinds[told[0]] == NORMAL else text
 
     def begun(self, text: str) -> str:
         """Without the space that stands for the beginning of a sentence."""
