@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.config import (
+    MTR_LAG_DAYS,
     EPOCHS,
     MARKETS,
     MAX_DAYS_PER_REQUEST,
@@ -17,6 +18,11 @@ from loomgrid.config import (
 from loomgrid.operators.numbering import number_in_order
 
 
+def last_published(market: Column, today: Column) -> Column:
+    """Last day that a market has published: tomorrow, or some days ago for real-time prices."""
+    return F.when(market == "MTR", F.date_sub(today, MTR_LAG_DAYS)).otherwise(F.date_add(today, 1))
+
+
 def window_number(day: Column, epoch: datetime.date) -> Column:
     """Index of the request window of a day, anchored at the market epoch."""
     days = F.datediff(day, F.lit(epoch))

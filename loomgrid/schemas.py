@@ -1,5 +1,7 @@
 """Explicit table schemas; nothing is inferred at read time."""
 
+# Column names and types of stored tables must stay readable by other tools.
+
 from pyspark.sql import types as T
 
 ENVELOPE = T.StructType(
@@ -20,18 +22,6 @@ ENVELOPE = T.StructType(
     ]
 )
 
-RECORD = T.StructType(
-    [
-        T.StructField("node", T.StringType()),
-        T.StructField("fecha", T.StringType()),
-        T.StructField("hora", T.IntegerType()),
-        T.StructField("pml", T.DoubleType()),
-        T.StructField("pml_ene", T.DoubleType()),
-        T.StructField("pml_per", T.DoubleType()),
-        T.StructField("pml_cng", T.DoubleType()),
-    ]
-)
-
 SILVER = T.StructType(
     [
         T.StructField("node", T.StringType()),
@@ -96,16 +86,6 @@ INDEX_COLUMNS = [
     "std_raw",
     "mu_7d",
 ]
-SAMPLE_ARRAYS = [
-    "X_seq",
-    "X_cal",
-    "X_level",
-    "X_meta",
-    "zone_idx",
-    "node_idx",
-    "y",
-    "comp_mu",
-]
 
 PREDICTION_COLUMNS = [
     "node",

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.config import UNKNOWN
+from loomgrid.config import STAGE_QUOTAS, STAGE_REGION, UNKNOWN
 from loomgrid.functions.encoding import normalize_header, parse_version
 from loomgrid.schemas import CATALOG_COLUMNS, NODE_LIST_COLUMNS
 
@@ -222,6 +222,11 @@ def select_nodes(
     )
 
 
+def stage_nodes(catalog: DataFrame, stage: int) -> DataFrame:
+    """Nodes of a collection stage: its quotas per level, in its region or everywhere."""
+    return select_nodes(catalog, STAGE_QUOTAS[stage], region=STAGE_REGION[stage])
+
+
 def level_crosstab(selected: DataFrame) -> DataFrame:
     """Nodes per region and voltage level with totals; null marks a total."""
     return selected.cube("region", "kv").agg(

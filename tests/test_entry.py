@@ -17,6 +17,14 @@ QUICK = (
     "collection_events",
     "eval_metrics",
     "daily_score",
+    "daylight_saving_rows",
+    "spike_pivot",
+    "level_pivot",
+    "next_targets",
+    "silver_merge",
+    "zone_dropout",
+    "node_folds",
+    "forecast_answers",
 )
 
 
@@ -31,7 +39,11 @@ def test_every_check_belongs_to_a_query():
     assert len(contract.queries()) > 90
 
 
+# the smallest tables hold no case of these
+EMPTY = ("daylight_saving_rows",)
+
+
 @pytest.mark.parametrize("name", QUICK)
 def test_query_equals_its_sql(spark, name):
     outcome, _, _ = compare(spark, connect(SMALL), name, SMALL)
-    assert outcome in ("ok", "EMPTY")
+    assert outcome == "ok" or outcome == "EMPTY" and name in EMPTY
