@@ -201,7 +201,12 @@ def select_nodes(
         if quotas[level] == "all":
             chosen = pool.select("node", "zone")
         else:
-            turn = F.row_number().over(Window.partitionBy("zone").orderBy("node")) - 1
+            # rows past the quota of their zone or region can't be chosen, so tasks drop them
+            # before the rows of a zone or region meet
+            quota = int(quotas[level])
+            place = F.row_number().over(Window.partitionBy("zone").orderBy("node"))
+            pool = pool.withColumn("place", place).where(F.col("place") <= quota)
+            turn = F.col("place") - 1
             if picked is None:
                 pool = pool.withColumn("taken", turn)
             else:
@@ -210,10 +215,12 @@ def select_nodes(
                     "taken", F.coalesce("earlier", F.lit(0)) + turn
                 )
             order = Window.partitionBy("region").orderBy("taken", "node")
-            ranked = pool.withColumn("round", F.row_number().over(order))
+            ranked = pool.withColumn("round", F.row_number().over(order)).where(
+                F.col("round") <= quota
+            )
             chosen = (
                 ranked.orderBy("round", "taken", "node")
-                .limit(int(quotas[level]))
+                .limit(quota)
                 .select("node", "zone")
             )
         picked = chosen if picked is None else picked.unionByName(chosen)
