@@ -9,7 +9,7 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 TEXT, UPPER = np.arange(256, dtype=np.uint8), np.arange(ord("A"), ord("Z") + 1)
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(ord("0"), ord("9") + 1), *UPPER, *(UPPER + 32), *range(128, 256)]] = True
