@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.rows import words
 from loomgrid.operators.numbering import range_part
+from loomgrid.session import stage
 
 K = 128
 SHINGLE = 5
@@ -97,7 +98,8 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", range_part(rows, "id", parts))
     # null ids sort first, so a part that has any begins with them
     head = F.when(F.count("id") == F.count("*"), F.min("id")).alias("head")
-    heads = rows.groupBy("part").agg(head)
+    # written, so that Spark broadcasts it on its size and shuffles no text to find a few
+    heads = stage(rows.groupBy("part").agg(head), "heads")
     texts = rows.join(heads.withColumnRenamed("part", "at"), F.col("id").eqNullSafe(F.col("head")))
     heads = texts.groupBy("at").agg(F.min("text").alias("first"))
     # one row per range
