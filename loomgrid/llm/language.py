@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm import training
@@ -220,10 +220,7 @@ def fit(docs: DataFrame, learned, max_rows: int = MAX_ROWS) -> Tagger | None:
     """Network learned from ``docs (doc_id, text, lang)``, of rows where ``learned`` holds."""
     known = docs.select(F.col("doc_id").alias("id"), "lang").where("id is not null and lang is not null")
     known = known.where(learned).groupBy("id").agg(F.max("lang").alias("lang"))
-    # the rank filter is applied inside tasks before rows of a language meet
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    known = known.withColumn("rank", first).where(F.col("rank") <= max_rows).drop("rank")
-    rows = training.with_texts(known, docs)
+    rows = training.with_texts(training.by_hash(known, "id", max_rows, "lang"), docs)
 
     def cut(parts):
         for part in parts:

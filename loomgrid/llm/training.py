@@ -6,7 +6,7 @@ import pickle
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.session import stage
@@ -17,9 +17,25 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
-def by_hash(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows, those whose keys hash lowest: the same ones on every run."""
-    return rows.orderBy(F.xxhash64(key), key).limit(limit)
+def by_hash(rows: DataFrame, key: str, limit: int, group: str | None = None) -> DataFrame:
+    """At most ``limit`` rows, or so many of each group: those whose keys hash lowest, the same
+    ones on every run.
+
+    Rows are counted first, and a bound on the hash lets about four times as many pass as can be
+    chosen. So what meets in one task to be ranked does not grow with the table or its tasks.
+    """
+    by = [group] if group else []
+    sizes = stage(rows.groupBy(*by).agg(F.count("*").alias("_rows")), "sizes")
+    share = F.least(F.lit(1.0), F.lit(4.0 * limit + 1000) / F.greatest(F.col("_rows"), F.lit(1)))
+    hashed = F.xxhash64(key)
+    if group:
+        first = F.row_number().over(Window.partitionBy(group).orderBy(hashed, key))
+        rows = rows.join(sizes, group).where(hashed <= share * 2.0**64 - 2.0**63)
+        ranked = rows.drop("_rows").withColumn("_rank", first)
+        return ranked.where(F.col("_rank") <= limit).drop("_rank")
+    bound = sizes.select(share.alias("share")).first()["share"]
+    passed = F.lit(True) if bound is None else hashed <= F.lit(bound * 2.0**64 - 2.0**63)
+    return rows.where(passed).orderBy(hashed, key).limit(limit)
 
 
 def with_texts(sample: DataFrame, docs: DataFrame) -> DataFrame:
