@@ -40,6 +40,9 @@ BAD = "�"
 SHORT = 40
 NEVER = float("-inf")
 #: a word with the space marks before it, or marks at the end
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+LETTER = re.compile(f"[{LETTERS}]")
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~\n\t\r"
 SEGMENT = re.compile("▁*[^▁]+|▁+")
 
 
@@ -99,6 +102,11 @@ class PieceModel:
             raise ValueError("models with user-defined or unused pieces are not supported")
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece crosses words")
+        self.id_text = {p: str(i) for p, i in self.ids.items()}
+        self.size = {p: len(p.encode()) for p in self.ids}
+        if max(self.size.values()) > 255:
+            raise ValueError("a piece has more than 255 bytes")
+        self.seam = self.seams()
         # a byte piece is named <0x0A>
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
@@ -106,6 +114,19 @@ class PieceModel:
         self.unknown_text = spec.trainer_spec.unk_surface
         self.plain = not self.map.units and not self.squeeze and self.escape
 
+    def seams(self) -> re.Pattern | None:
+        """Places between a letter and a mark of punctuation that no piece has side by side, so no
+        merge joins what is on their two sides."""
+        joined = set()
+        for piece in self.ids:
+            for a, b in zip(piece, piece[1:]):
+                if bool(LETTER.match(a)) != bool(LETTER.match(b)):
+                    joined.update((a, b))
+        marks = re.escape("".join(c for c in PUNCTUATION if c not in joined))
+        if not marks:
+            return None
+        return re.compile(f"(?<=[{LETTERS}])(?=[{marks}])|(?<=[{marks}])(?=[{LETTERS}])")
+
     # -- normalisation -----------------------------------------------------------------------
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
@@ -210,20 +231,23 @@ class PieceModel:
 
     # -- encoding and decoding ---------------------------------------------------------------
 
+    def segments(self, text: str) -> list[str]:
+        """Words of the normalised text."""
+        if not self.plain or not text:
+            return SEGMENT.findall(self.normalise(text)[0])
+        return SEGMENT.findall(MARK * self.dummy + text.replace(" ", MARK))
+
     def alignment(self, text: str) -> tuple[list[str], np.ndarray]:
         """Words of the normalised text, and for each of its UTF-8 bytes and its end the byte of
         the original that it stands for."""
-        if not self.plain:
+        if not self.plain or not text:
             normal, origin = self.normalise(text)
             return SEGMENT.findall(normal), np.array(origin, np.int64)
-        if not text:
-            return [], np.zeros(1, np.int64)
         # only spaces change: each becomes the three bytes of a mark, one more stands in front
         data = np.frombuffer(text.encode(), np.uint8)
         origin = np.repeat(np.arange(len(data)), np.where(data == 32, 3, 1))
         ahead = np.zeros(3 * self.dummy, np.int64)
-        words = SEGMENT.findall(MARK * self.dummy + text.replace(" ", MARK))
-        return words, np.concatenate([ahead, origin, [len(data)]])
+        return self.segments(text), np.concatenate([ahead, origin, [len(data)]])
 
     def encoded(self, word: str) -> list[tuple[int, int]]:
         """(id, normalised bytes) of the pieces of a word. The bytes of a character that is not in
@@ -295,16 +319,25 @@ class Encoder:
     def _word(self, word: str) -> tuple[str, bytes, str]:
         """Ids as text, normalised size of every piece, and the text that the ids decode to: the
         bytes of a character stay together, so words decode on their own."""
-        pieces = self.model.encoded(word)
-        ids = [i for i, _ in pieces]
-        sizes = np.array([size for _, size in pieces], "<u4").tobytes()
-        return ",".join(map(str, ids)), sizes, self.model.surface(ids)
+        model = self.model
+        parts = model.seam.split(word) if model.seam else [word]
+        if len(parts) > 1:
+            found = [self.words[part] for part in parts]
+            return ",".join([f[0] for f in found]), b"".join([f[1] for f in found]), "".join([f[2] for f in found])
+        symbols = model.merged(word)
+        try:
+            ids = ",".join([model.id_text[s] for s in symbols])
+            return ids, bytes([model.size[s] for s in symbols]), word.replace(MARK, " ")
+        except KeyError:  # a character is not in the vocabulary
+            pieces = model.encoded(word)
+        numbers = [i for i, _ in pieces]
+        return ",".join(map(str, numbers)), bytes([n for _, n in pieces]), model.surface(numbers)
 
     def report(self, text: str | None) -> tuple[int, str, str, int]:
         """Number of ids, digests of ids and decoded text, checksum of the pieces' end bytes."""
         words, origin = self.model.alignment(text or "")
         found = [self.words[word] for word in words]
-        sizes = np.frombuffer(b"".join([sizes for _, sizes, _ in found]), "<u4")
+        sizes = np.frombuffer(b"".join([sizes for _, sizes, _ in found]), np.uint8)
         ends = origin[np.cumsum(sizes, dtype=np.int64)]
         ids = ",".join([ids for ids, _, _ in found])
         decoded = self.model.begun("".join([part for _, _, part in found]))

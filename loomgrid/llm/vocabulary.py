@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-STORE = 200_000
+STORE = 500_000
 
 
 class WordStore(dict):
