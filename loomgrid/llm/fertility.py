@@ -91,8 +91,15 @@ class Meter:
 
     def _pieces(self, word: str) -> complex:
         """Pieces of a word, and as imaginary part the byte pieces among them."""
-        ids = [i for i, _ in self.model.encoded(word)]
-        return complex(len(ids), sum(i in self.model.byte_of for i in ids))
+        model = self.model
+        parts = model.seam.split(word) if model.seam else [word]
+        if len(parts) > 1:
+            return sum([self.pieces[part] for part in parts])
+        found = 0j
+        for symbol in model.merged(word):
+            ids = model.symbol_ids(symbol)
+            found += complex(len(ids), sum(i in model.byte_of for i in ids))
+        return found
 
     def figures(self, text: str) -> tuple[float | None, ...]:
         if not text:
@@ -101,8 +108,7 @@ class Meter:
         counts = np.unique(ids, return_counts=True)[1]
         share = counts / len(ids)
         even = float(-(share * np.log2(share)).sum() / np.log2(len(ids))) if len(ids) > 1 else 1.0
-        words, _ = self.model.alignment(text)
-        found = sum([self.pieces[w] for w in words], 0j)
+        found = sum([self.pieces[word] for word in self.model.segments(text)], 0j)
         return len(text) / len(ids), even, found.imag / max(found.real, 1)
 
     def measure(self, texts: list[str | None]) -> pd.DataFrame:
