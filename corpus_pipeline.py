@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences, in five stages.
+"""From raw documents to packed training sequences, in six stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of
 ``documents``. A stage works on every row that its predecessor kept. Defined results for nulls,
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import language, line_dedup, packing, quality, simhash
+from loomgrid.llm import language, line_dedup, near_copies, packing, quality, simhash
 from loomgrid.llm.rows import documents, labels
 from loomgrid.session import stage
 
@@ -38,6 +38,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_one(docs)
 
 
+def changed_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at 0.8 or more: copies with changed
+    passages, which differ in more bits than the stage before allows."""
+    return near_copies.keep_one(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, with their place in sequences of 1024."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -48,6 +54,7 @@ STAGES = [
     ("language_id", language_stage),
     ("line_dedup", line_stage),
     ("simhash_near_dedup", near_duplicate_stage),
+    ("shingle_near_dedup", changed_copy_stage),
     ("best_fit_packing", packing_stage),
 ]
 
