@@ -27,8 +27,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines of their source, their length counted anew."""
-    cleaned = line_dedup.dedup_lines(docs, host="source")
+    """Documents without boilerplate lines of their source, their length counted anew.
+
+    Copies are still there, so equal texts of a source count as one page."""
+    cleaned = line_dedup.dedup_lines(docs, host="source", copies_once=True)
     counted = cleaned.withColumn("n_chars", F.length("text").cast("bigint"))
     return counted.select(*docs.columns)
 

@@ -10,8 +10,8 @@ whose hot hosts adaptive execution splits.
 
 Defined results: a page without text or without host is returned as it is; pages without text
 count as pages of their host; blank lines are never counted or dropped; a line that a page repeats
-counts once; every copy of a boilerplate line goes; repeated rows count as so many pages; a text
-all of whose lines go becomes empty. Lines are compared without the white space at their ends.
+counts once; every copy of a boilerplate line goes; repeated rows count as so many pages, or with
+``copies_once`` all pages of a host with equal texts as one; a text all of whose lines go becomes empty. Lines are compared without the white space at their ends.
 """
 
 from __future__ import annotations
@@ -40,14 +40,19 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
     """(host, dropped): the keys of each host's boilerplate lines, of ``pages (host, text)``."""
-    pages = pages.where(F.col("host").isNotNull())
     lines = F.array_distinct(F.transform(F.split("text", "\n"), bare))
+    keys = F.transform(F.filter(lines, lambda x: x != ""), line_key)
+    pages = pages.where(F.col("host").isNotNull()).select("host", line_key(F.col("text")).alias("page"), keys.alias("keys"))
+    if copies_once:
+        # copies meet before the shuffle, and only keys of lines are shuffled
+        pages = pages.groupBy("host", "page").agg(F.first("keys").alias("keys"))
     counts = (
-        pages.select("host", F.explode(lines).alias("line"))
-        .where(F.col("line") != "")
-        .groupBy("host", line_key(F.col("line")).alias("key"))
+        pages.select("host", F.explode("keys").alias("key"))
+        .groupBy("host", "key")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_pages)
     )
@@ -66,10 +71,11 @@ def dedup_lines(
     text: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``df`` with ``text`` freed of boilerplate lines, ``n_lines`` before and ``n_dropped``."""
     pages = wrap(df, host=host, text=text)
-    lists = stage(boilerplate(pages.select("host", "text"), ratio, min_pages), "boilerplate")
+    lists = stage(boilerplate(pages.select("host", "text"), ratio, min_pages, copies_once), "boilerplate")
     found = pages.join(lists, "host", "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("dropped"), line_key(bare(x))))

@@ -46,3 +46,16 @@ def test_query_equals_its_sql(spark, name):
 def test_all_eleven_are_registered():
     names = contract.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_copies_that_fill_a_third_of_a_source_keep_their_text(spark):
+    plain = [f"only line {i} of its page, {i * 7} words\nand a second one {i}" for i in range(20)]
+    copied = "a clean document\nthat was copied often"
+    rows = [(i, copied if i % 3 == 0 else plain[i % 20], "en", "src1", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, step in corpus_pipeline.STAGES[2:-1]:
+        docs = step(spark, docs, SF).cache()
+    found = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert found[0] == copied and "" not in found.values()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("doc_id = 0 and length > 0").count() == 1
