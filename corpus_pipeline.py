@@ -15,6 +15,9 @@ from loomgrid.llm import language, line_dedup, near_copies, packing, quality, si
 from loomgrid.llm.rows import documents, labels
 from loomgrid.session import stage
 
+#: a line on over so large a share of its source's distinct texts is boilerplate
+LINE_RATIO = 0.02
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be of quality, learned from the labelled and unlabelled ones."""
@@ -30,7 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines of their source, their length counted anew.
 
     Copies are still there, so equal texts of a source count as one page."""
-    cleaned = line_dedup.dedup_lines(docs, host="source", copies_once=True)
+    cleaned = line_dedup.dedup_lines(docs, host="source", ratio=LINE_RATIO, copies_once=True)
     counted = cleaned.withColumn("n_chars", F.length("text").cast("bigint"))
     return counted.select(*docs.columns)
 

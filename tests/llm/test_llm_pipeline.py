@@ -59,3 +59,10 @@ def test_copies_that_fill_a_third_of_a_source_keep_their_text(spark):
     assert found[0] == copied and "" not in found.values()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.where("doc_id = 0 and length > 0").count() == 1
+
+
+def test_lines_on_a_few_per_cent_of_a_source_go(spark):
+    rows = [(i, f"page {i}\nnotice\nend {i}" if i < 4 else f"page {i}", "en", "src1", 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, SF).collect()}
+    assert found == {i: f"page {i}\nend {i}" if i < 4 else f"page {i}" for i in range(100)}
