@@ -11,8 +11,8 @@ Base rules count words between ASCII white space: too few words, or too many of
 windows of five words, fail a text.
 
 Defined results: a null text has no words and fails; documents without language form a group of
-their own; a group of fewer than ``LEAST`` texts has no bands, so only base rules apply to it; a text
-without tokens has no figures and fails the base rules anyway; repeated rows count as so many texts.
+their own; a group of fewer than ``LEAST`` texts takes the bands of a coarser one (with the neighbouring
+orders, then the language); in a language of fewer than ``LEAST`` only base rules apply; a text without tokens has no figures and fails the base rules anyway; repeated rows count as so many texts.
 """
 
 from __future__ import annotations
@@ -140,10 +140,10 @@ def measured(df: DataFrame, byte_path: str, piece_path: str, text: str = "text")
     return unwrap(rows, **{n: F.col("found")[n] for n in [*COUNTS, *FIGURES]})
 
 
-def bands(passed: DataFrame, group: list[str]) -> DataFrame:
-    """(group, low and high end of each figure's band) of groups large enough."""
+def limits(found: DataFrame, group: list[str]) -> DataFrame:
+    """(group, one struct of the ends of each figure's band) of the texts' ``found`` figures."""
     quartiles = [F.percentile_approx(f, [0.25, 0.75], 10_000).alias(f) for f in FIGURES]
-    found = passed.groupBy(*group).agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= LEAST)
+    found = found.groupBy(*group).agg(F.count("*").alias("n"), *quartiles)
     ends = []
     for f, (low, high, margins) in BANDS.items():
         spread = SPREAD * (F.col(f)[1] - F.col(f)[0])
@@ -151,7 +151,20 @@ def bands(passed: DataFrame, group: list[str]) -> DataFrame:
             ends.append((F.col(f)[0] - F.greatest(spread, F.lit(margins[0]))).alias(f"{f}_low"))
         if high:
             ends.append((F.col(f)[1] + F.greatest(spread, F.lit(margins[1]))).alias(f"{f}_high"))
-    return found.select(*group, *ends)
+    return found.select(*group, "n", F.struct(*ends).alias("ends"))
+
+
+def bands(passed: DataFrame) -> DataFrame:
+    """(lang, order, ends of each figure's band) of every cell: its own texts' if they are ``LEAST``,
+    else those of it and its neighbouring orders, or of its language; none in a smaller language."""
+    near = passed.withColumn("order", F.explode(F.array(*[F.col("order") + k for k in (-1, 0, 1)])))
+    cells = stage(limits(passed, ["lang", "order"]), "cells")
+    found = cells.select("lang", "order", F.when(F.col("n") >= LEAST, F.col("ends")).alias("e0"))
+    wider = [(near, ["lang", "order"]), (passed, ["lang"])]
+    for k, (rows, group) in enumerate(wider, 1):
+        large = limits(rows, group).where(F.col("n") >= LEAST)
+        found = found.join(large.select(*group, F.col("ends").alias(f"e{k}")), group, "left")
+    return found.select("lang", "order", F.coalesce("e0", "e1", "e2").alias("ends")).select("lang", "order", "ends.*")
 
 
 def judge(df: DataFrame, byte_path: str, piece_path: str, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -165,8 +178,8 @@ def judge(df: DataFrame, byte_path: str, piece_path: str, text: str = "text", la
     )
     rows = rows.withColumn("base_failed", failed)
     rows = rows.withColumn("order", F.floor(F.log2(F.greatest("word_chars", F.lit(1)))))
-    limits = stage(bands(rows.where(~F.col("base_failed")), ["lang", "order"]), "bands")
-    rows = rows.join(limits, ["lang", "order"], "left")
+    ends = stage(bands(rows.where(~F.col("base_failed"))), "bands")
+    rows = rows.join(ends, ["lang", "order"], "left")
     inside = F.lit(True)
     for f, (low, high, _) in BANDS.items():
         if low:

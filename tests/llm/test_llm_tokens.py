@@ -191,3 +191,14 @@ def test_base_counts_and_verdicts(spark):
     assert not got[2000]["kept"] or got[2000]["base_failed"] is False
     assert got[2000]["byte_share"] > 0.5 and got[2001]["kept"]  # a language of one text has no band
     assert fertility.judge(df.limit(0), BYTE, PIECE).count() == 0
+
+
+def test_a_text_alone_in_its_order_meets_the_band_of_its_language(spark):
+    draw = random.Random(8)
+    names = "time people water house river table green small letter paper window garden music".split()
+    rows = [(i, " ".join(draw.sample(names, 12)), "xx") for i in range(60)]
+    rows += [(100 + k, " ".join(chr(draw.randint(0x12000, 0x12300)) for _ in range(n)), "xx") for k, n in enumerate((40, 3000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in fertility.judge(df, BYTE, PIECE).collect()}
+    assert all(got[i]["kept"] for i in range(60))
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (100, 101))
