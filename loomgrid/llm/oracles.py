@@ -38,4 +38,63 @@ SELECT page_id, payload_bytes, d.payload_digest,
 FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op4_warc": OP4}
+OP11 = """
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS t
+  FROM (SELECT unnest(generate_series(0, 255))::BIGINT AS n)
+), d AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END
+      || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+      || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+    n_chars, CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+      lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 7 = 0 AS tampered
+  FROM documents, bits
+), l AS (
+  SELECT doc_id, tree, sha256(head || CASE WHEN n_chars IS NULL THEN '-'
+      ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || tail) AS leaf,
+    CASE WHEN tampered AND n_chars IS NOT NULL
+      THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS changed
+  FROM d
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY tree) AS n FROM l
+), nodes AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY tree, lvl, pos // 2, n
+), subroots AS (
+  SELECT tree, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS lvl, pos, subroot AS digest, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM tops WHERE n > 1 GROUP BY lvl, pos // 2, n
+), steps AS (
+  SELECT x.tree, x.pos, k.lvl AS step, CASE WHEN s.pos IS NULL THEN '-' WHEN s.pos > x.pos >> k.lvl THEN 'R' ELSE 'L' END AS side,
+    coalesce(s.digest, '') AS other
+  FROM leaves x JOIN (SELECT DISTINCT tree, lvl FROM nodes WHERE n > 1) k ON x.tree = k.tree
+  LEFT JOIN nodes s ON s.tree = x.tree AND s.lvl = k.lvl AND s.pos = xor(x.pos >> k.lvl, 1)
+  UNION ALL
+  SELECT x.tree, x.pos, 1000 + k.lvl, CASE WHEN s.pos IS NULL THEN '-' WHEN s.pos > r.pos >> k.lvl THEN 'R' ELSE 'L' END,
+    coalesce(s.digest, '')
+  FROM leaves x JOIN subroots r ON x.tree = r.tree CROSS JOIN (SELECT DISTINCT lvl FROM tops WHERE n > 1) k
+  LEFT JOIN tops s ON s.lvl = k.lvl AND s.pos = xor(r.pos >> k.lvl, 1)
+), proofs AS (
+  SELECT tree, pos, list(side || other ORDER BY step) AS proof, string_agg(other, '' ORDER BY step) AS others
+  FROM steps GROUP BY tree, pos
+), folds AS (
+  SELECT x.*, coalesce(others, '') AS others, coalesce(len(proof), 0)::INTEGER AS proof_levels,
+    list_reduce(list_prepend(coalesce(changed, leaf), coalesce(proof, [])), lambda a, s:
+      CASE s[1] WHEN 'L' THEN sha256(s[2:] || a) WHEN 'R' THEN sha256(a || s[2:]) ELSE sha256(a) END) AS folded_root
+  FROM leaves x LEFT JOIN proofs p ON x.tree = p.tree AND x.pos = p.pos
+)
+SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, folded_root, folded_root = root AS verified, proof_levels
+FROM folds JOIN subroots ON folds.tree = subroots.tree CROSS JOIN (SELECT digest AS root FROM tops WHERE n = 1)
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op4_warc": OP4, "op11_merkle_manifest": OP11}

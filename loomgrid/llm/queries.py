@@ -10,6 +10,7 @@ from loomgrid.llm import (
     fingerprints,
     language,
     line_dedup,
+    merkle,
     packing,
     pieces,
     quality,
@@ -80,6 +81,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_table(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and roots of all documents, with tampered rows that do not verify."""
+    return merkle.document_manifest(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,5 +99,6 @@ QUERIES = {
         op8_language,
         op9_sentencepiece,
         op10_simhash_near_dedup,
+        op11_merkle_manifest,
     )
 }
