@@ -97,4 +97,48 @@ SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, folded_root,
 FROM folds JOIN subroots ON folds.tree = subroots.tree CROSS JOIN (SELECT digest AS root FROM tops WHERE n = 1)
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op4_warc": OP4, "op11_merkle_manifest": OP11}
+OP12 = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS t
+  FROM (SELECT unnest(generate_series(0, 255))::BIGINT AS n)
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents
+), counts AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), sums AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+      lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END))),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS h
+  FROM counts, bits
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2)
+      ELSE run END AS word, n FROM sums)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), gaps AS (
+  SELECT word, n, i, left(word, i - 1) || '*' || substr(word, i + 1) AS mask, left(word, i - 1) || substr(word, i + 1) AS less
+  FROM (SELECT word, n, unnest(generate_series(1, length(word)))::INTEGER AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.mask = b.mask AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.less = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.less = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS other, max(m) AS m FROM near GROUP BY word
+), forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word
+), chain AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL
+  SELECT chain.word, form, step + 1 FROM chain JOIN forms ON forms.word = chain.root WHERE form IS NOT NULL
+)
+SELECT forms.word, form, root, n, n_near, form_n
+FROM forms JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) ends ON forms.word = ends.word
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op4_warc": OP4, "op11_merkle_manifest": OP11, "op12_spelling_variants": OP12}

@@ -15,6 +15,7 @@ from loomgrid.llm import (
     pieces,
     quality,
     simhash,
+    spelling,
     toxicity,
     warc,
 )
@@ -86,6 +87,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(documents(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all texts with their near words, forms and roots."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,5 +106,6 @@ QUERIES = {
         op9_sentencepiece,
         op10_simhash_near_dedup,
         op11_merkle_manifest,
+        op12_spelling_variants,
     )
 }

@@ -67,11 +67,8 @@ ODD = [
 MANY = [(i, f"s{i % 3}", ["en", "de", "fr", None][min(i % 9, 3)], i * 3, f"text {i}\n") for i in range(150)]
 
 
-@pytest.mark.parametrize("depth", [1, 2, 5, 11])
-@pytest.mark.parametrize("rows", [ODD, MANY, MANY[:1], [*ODD, *MANY[:40]]])
+@pytest.mark.parametrize("rows, depth", [(ODD, 11), (ODD, 1), ([*ODD, *MANY], 2), (MANY[:1], 11), (MANY, 5)])
 def test_manifest_equals_the_tree_built_in_one_place(spark, rows, depth):
-    if depth < 5 and len(rows) > 60 and depth == 1:
-        rows = rows[:40]
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
     found = merkle.document_manifest(docs, depth).drop("proof_levels").collect()
     assert sorted([tuple(r) for r in found], key=str) == brute(rows)
