@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgrid.llm import (
+    deleted_interpolation,
     fertility,
     fingerprints,
     language,
@@ -92,6 +93,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts by a bigram model of those that are not held out, and by single tokens."""
+    return deleted_interpolation.document_scores(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,5 +113,6 @@ QUERIES = {
         op10_simhash_near_dedup,
         op11_merkle_manifest,
         op12_spelling_variants,
+        op13_lm_scores,
     )
 }
