@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -62,39 +62,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """Folder of the application's staged tables, removed when the application ends."""
+    """Folder of the application's staged tables, removed when its JVM ends."""
     path = f"{shared_dir(spark)}/loomgrid/{spark.sparkContext.applicationId}"
     _remove_at_exit(spark, path)
     return path
 
 
-@functools.cache
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    atexit.register(_remove, spark, path)
+def _folder(spark: SparkSession, path: str):
+    """A folder and the file system that holds it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended and took its JVM along
-        return
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+@functools.cache
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    # the file system does it, since a job stops its session before Python ends
+    folder, system = _folder(spark, path)
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
 
 
 def drop_stages(spark: SparkSession) -> None:
     """Remove every staged table of the application, once no result needs them any more."""
-    _remove(spark, stage_dir(spark))
+    folder, system = _folder(spark, stage_dir(spark))
+    system.delete(folder, True)
+
+
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession):
+    """Within it, an action's shuffle files go as soon as it ends."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def stage(df: DataFrame, label: str = "stage", folder: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder, or in ``folder``, and read it back.
 
     Cuts the lineage where one result feeds several later jobs. The written
     table survives executor loss and later reads prune columns, which an RDD
-    checkpoint of the wide sample rows could not. It stays until ``drop_stages``
-    or the end of the application, since later jobs may still read it.
+    checkpoint of the wide sample rows could not. What it shuffled is freed at once, since
+    nothing reads that again. It stays until ``drop_stages`` or the end of the application, since
+    later jobs may still read it; tables in a folder of the caller's stay there.
     """
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder or stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    with freeing_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
