@@ -88,6 +88,18 @@ def drop_stages(spark: SparkSession) -> None:
     system.delete(folder, True)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Have long texts come to Python in batches of about ``size``, unless the session says otherwise.
+
+    Without it a batch has as many rows as fit its number, however long they are.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, size)
+
+
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
