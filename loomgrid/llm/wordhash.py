@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,7 +63,35 @@ def range_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((upto[end] - upto[start]) * down[start])
 
 
-def find_words(texts: list[str | None], is_word: np.ndarray = IS_WORD, fold: bool = True) -> Words:
+def block_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range, by its blocks of eight bytes, each mixed with its place.
+
+    Unlike ``range_hash``, whose powers of an odd base leave patterns in long words, different
+    ranges share a hash by chance only.
+    """
+    size = end - start
+    many = (size + 7) // 8
+    first = np.cumsum(many) - many
+    place = np.arange(int(many.sum())) - np.repeat(first, many)
+    padded = np.concatenate([codes, np.zeros(8, np.uint8)])
+    window = np.ndarray(len(codes) + 1, "<u8", padded, 0, (1,))
+    left = np.repeat(size, many) - 8 * place
+    mask = np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+    block = window[np.repeat(start, many) + 8 * place] & mask
+    block = mixed(mixed(block + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)))
+    out = size.astype(np.uint64) * MIX
+    if len(block):
+        some = many > 0
+        out[some] += np.add.reduceat(block, first[some])
+    return mixed(out)
+
+
+def find_words(
+    texts: list[str | None],
+    is_word: np.ndarray = IS_WORD,
+    fold: bool = True,
+    hashed: Callable[..., np.ndarray] = range_hash,
+) -> Words:
     """Maximal runs of word bytes (letters, digits and all beyond ASCII unless told otherwise)."""
     data = [(t or "").encode() for t in texts]
     doc_start = np.cumsum([0, *(len(d) + 1 for d in data)])
@@ -76,7 +104,7 @@ def find_words(texts: list[str | None], is_word: np.ndarray = IS_WORD, fold: boo
     start, end = turns[::2], turns[1::2]
     doc = np.searchsorted(doc_start, start, "right") - 1
     codes = LOWER[raw] if fold else raw
-    return Words(raw, doc_start, start, end, doc, range_hash(codes, start, end))
+    return Words(raw, doc_start, start, end, doc, hashed(codes, start, end))
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[list[str | None]]:

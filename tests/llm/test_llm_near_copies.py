@@ -42,3 +42,38 @@ def test_one_of_each_group_is_kept(spark, tile):
     assert got.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in got.collect()) == brute_kept(rows)
     assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+def test_single_pairs_above_the_bound_are_found_among_many_below_it(spark):
+    common = [f"c{i}" for i in range(304)]
+    texts = []
+    for i in range(90):
+        own = [f"u{i}_{k}" for k in range(40)]
+        if i in (20, 71):
+            own[:5] = ["p", "q", "r", "s", "t"]
+        texts.append(" ".join(common + own))
+    a, b, c = (shingles(texts[i]) for i in (20, 71, 3))
+    assert len(a & b) / len(a | b) > 0.8 > len(a & c) / len(a | c) > 0.78
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    kept = {r["doc_id"] for r in near_copies.keep_one(df).collect()}
+    assert kept == set(range(90)) - {71}
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(5, long), (4, long.replace("w7 ", "other ")), (6, long[:40_000]), (7, "")]
+    df = spark.createDataFrame([(*r, "x", 1, None) for r in rows], "doc_id long, text string, t string, node int, id string")
+    found = near_copies.keep_one(df, by_fingerprint=True)
+    assert found.columns == df.columns
+    assert {tuple(r) for r in found.collect()} == {(*r, "x", 1, None) for r in rows[1:]}
+
+
+def test_fingerprints_join_groups_that_shingles_do_not(spark):
+    words = [f"w{i}" for i in range(400)]
+    changed = [w if i % 60 else "new" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, "another text of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same = {r["component_id"] for r in near_copies.simhash.component_table(df).collect()}
+    kept = {r["doc_id"] for r in near_copies.keep_one(df, like=0.99, by_fingerprint=True).collect()}
+    assert kept == same
+    assert {r["doc_id"] for r in near_copies.keep_one(df, like=0.99).collect()} == {1, 2, 3}
