@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences, in six stages.
+"""From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of
 ``documents``. A stage works on every row that its predecessor kept. Defined results for nulls,
@@ -7,14 +7,18 @@ empty texts, ties, repeated rows and clashing names are those of the operators i
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import language, line_dedup, near_copies, packing, quality, simhash
+from loomgrid.llm import language, line_dedup, near_copies, packing, quality
 from loomgrid.llm.rows import documents, labels
-from loomgrid.session import stage
+from loomgrid.session import bound_batches, stage
 
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: a line on over so large a share of its source's distinct texts is boilerplate
 LINE_RATIO = 0.02
 
@@ -39,14 +43,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
-
-
-def changed_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at 0.8 or more: copies with changed
-    passages, which differ in more bits than the stage before allows."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near-duplicates: those that SimHash links, and copies with changed
+    passages, which differ in more bits but share 0.8 of their five-word shingles."""
+    return near_copies.keep_one(docs, by_fingerprint=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +53,23 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [
-    ("quality_classifier", quality_stage),
-    ("language_id", language_stage),
+def bounded(step: Step) -> Step:
+    """A stage whose Python tasks read whole texts in batches of a few megabytes."""
+
+    @functools.wraps(step)
+    def run_bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return step(spark, docs, sf_dir)
+
+    return run_bounded
+
+
+STAGES: list[tuple[str, Step]] = [
+    ("quality_classifier", bounded(quality_stage)),
+    ("language_id", bounded(language_stage)),
     ("line_dedup", line_stage),
-    ("simhash_near_dedup", near_duplicate_stage),
-    ("shingle_near_dedup", changed_copy_stage),
-    ("best_fit_packing", packing_stage),
+    ("simhash_near_dedup", bounded(near_duplicate_stage)),
+    ("best_fit_packing", bounded(packing_stage)),
 ]
 
 #: models and fingerprints are beyond SQL; the stages are tested against brute force
