@@ -23,9 +23,12 @@ class WordStore(dict):
         made = self.old.get(word)
         if made is None:
             made = self.make(word)
+        self.keep(word, made)
+        return made
+
+    def keep(self, word: str, made: object) -> None:
         if len(word) < 100:
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[word] = made
-        return made

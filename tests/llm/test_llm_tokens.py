@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -188,11 +189,61 @@ def test_base_counts_and_verdicts(spark):
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
         assert got[i]["base_failed"] == failed and not (failed and got[i]["kept"])
     assert all(got[1000 + i]["kept"] for i in range(60))
-    assert not got[2000]["kept"] or got[2000]["base_failed"] is False
-    assert got[2000]["byte_share"] > 0.5 and got[2001]["kept"]  # a language of one text has no band
+    assert not got[2000]["kept"] and not got[2000]["base_failed"]
+    # a text alone in its language and script meets the bands of all texts
+    assert got[2000]["byte_share"] > 0.5 and not got[2001]["kept"] and not got[2001]["base_failed"]
+    assert {i: r["kept"] for i, r in got.items()} == brute_verdicts(got, {i: x for i, _, x, *_ in rows})
     assert fertility.judge(df.limit(0), BYTE, PIECE).count() == 0
 
 
+def brute_verdicts(measured, lang):
+    """Verdicts from the counts and figures of all texts, with bands worked out in one place."""
+    passed = {i: r for i, r in measured.items() if not r["base_failed"]}
+    order = {i: math.floor(math.log2(max(r["word_chars"], 1))) for i, r in passed.items()}
+    told = {}
+    for i, r in measured.items():
+        told[i] = i in passed
+        if i not in passed:
+            continue
+        cells = [
+            [k for k in passed if lang[k] == lang[i] and order[k] == order[i]],
+            [k for k in passed if lang[k] == lang[i] and abs(order[k] - order[i]) <= 1],
+            [k for k in passed if lang[k] == lang[i]],
+            [k for k in passed if passed[k]["script"] == r["script"]],
+            list(passed),
+        ]
+        cell = next((c for c in cells[:-1] if len(c) >= fertility.LEAST), cells[-1])
+        for f, (spreads, least) in fertility.BANDS.items():
+            values = sorted(passed[k][f] for k in cell)
+            low, high = (values[math.ceil(p * len(values)) - 1] for p in (0.25, 0.75))
+            scale = math.sqrt(fertility.MARGIN_CHARS / 2 ** order[i])
+            if spreads[0] and r[f] < low - max(spreads[0] * (high - low), least[0] * scale):
+                told[i] = False
+            if spreads[1] and r[f] > high + max(spreads[1] * (high - low), least[1] * scale):
+                told[i] = False
+    return told
+
+
+def test_long_words_of_a_pattern_are_told_apart(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    text = "\n".join([thue, other, thue, "w " * 5, "éa" * 50_000])
+    df = spark.createDataFrame([(1, text, "en"), (1, text, "en"), (2, "字 " * 3, None)], "doc_id long, text string, lang string")
+    got = fertility.judge(df, BYTE, PIECE).collect()
+    assert [r["n_dup_lines"] for r in got if r["doc_id"] == 1] == [1, 1] and len(got) == 3
+    assert {r["doc_id"]: r["script"] for r in got} == {1: "latin", 2: "5b"}
+    assert all(tuple(r[c] for c in fertility.COUNTS) == brute_counts(text) for r in got if r["doc_id"] == 1)
+
+
+def test_piece_counts_equal_the_library(spark):
+    meter = fertility.Meter(BYTE, PIECE)
+    for text in [*odd_texts(100), "▁a ▁ b", " lead and trail ", "a\u200bb", "x" * 500]:
+        ids = meter.library.encode(text)
+        want = sum(bool(meter.is_byte[i]) for i in ids) / max(len(ids), 1)
+        for _ in range(2):  # new words, then remembered ones
+            assert (meter.byte_shares([text])[0] or 0.0) == want
+
+
 def test_a_text_alone_in_its_order_meets_the_band_of_its_language(spark):
     draw = random.Random(8)
     names = "time people water house river table green small letter paper window garden music".split()
