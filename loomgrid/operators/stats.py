@@ -9,9 +9,17 @@ from loomgrid.config import COMPONENTS, PRICES, SeriesSpec, Settings
 from loomgrid.functions.scaling import floored_sigma
 from loomgrid.operators.chunks import chunk_keys, with_halo, with_slots
 
+#: sums of prices are kept in these parts, as whole numbers: they do not depend on the order of the rows,
+#: so neither does a mean that lies half way between two rounded ones
+UNIT = 10**8
 COMPONENT_MEANS = {"pml_ene": "mu_ene", "pml_per": "mu_per", "pml_cng": "mu_cng"}
 
 
+def mean_of(total: str, n: str) -> Column:
+    """Mean price of a sum in whole parts, rounded once."""
+    return F.col(total) / (F.col(n) * F.lit(float(UNIT)))
+
+
 def block_partials(silver: DataFrame, spec: SeriesSpec, steps: bool = False) -> DataFrame:
     """One row per (series, block): counts, sums and spread of its steps.
 
@@ -26,7 +34,7 @@ def block_partials(silver: DataFrame, spec: SeriesSpec, steps: bool = False) ->
         *[f"max({c}) AS {c}" for c in carry],
         "count(*) AS n_rows",
         "count(pml) AS n",
-        "sum(pml) AS s",
+        f"sum(CAST(round(pml * {UNIT}) AS BIGINT)) AS s",
         "var_pop(pml) * count(pml) AS m2",
         "max(pml) AS top",
         *[f"count({c}) AS n_{c}" for c in COMPONENTS],
@@ -68,7 +76,7 @@ def trailing_stats(
         "t_n": f"sum(n) {trail}",
         "t_s": f"sum(s) {trail}",
         "t_m2": f"sum(m2) {trail}",
-        "t_d2": f"sum(n * pow(IF(n > 0, s / n, NULL) - pivot, 2)) {trail}",
+        "t_d2": f"sum(n * pow(IF(n > 0, s / (n * {UNIT}D), NULL) - pivot, 2)) {trail}",
         **{f"t_n_{c}": f"sum(n_{c}) {trail}" for c in COMPONENTS},
         **{f"t_s_{c}": f"sum(s_{c}) {trail}" for c in COMPONENTS},
         "r_n": f"sum(n) {recent}",
@@ -86,7 +94,7 @@ def with_pivot(blocks: DataFrame, spec: SeriesSpec) -> DataFrame:
     so_far = Window.partitionBy(*chunk_keys(spec)).orderBy("block").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    level = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    level = F.when(F.col("n") > 0, mean_of("s", "n"))
     return blocks.withColumn("pivot", F.first(level, ignorenulls=True).over(so_far))
 
 
@@ -94,7 +102,7 @@ def finish_stats(df: DataFrame, spec: SeriesSpec, settings: Settings) -> DataFra
     """Turn raw window sums into ``mu, std_raw, sigma, n_obs, mu_7d, mu_*, valid``."""
     need = settings.min_observations(spec)
     enough = F.col("t_n") >= need
-    mu = F.col("t_s") / F.col("t_n")
+    mu = mean_of("t_s", "t_n")
     offset = mu - F.col("pivot")
     spread = F.col("t_m2") + F.col("t_d2") - F.col("t_n") * offset * offset
     std = F.sqrt(F.greatest(spread, F.lit(0.0)) / F.col("t_n"))
@@ -104,7 +112,7 @@ def finish_stats(df: DataFrame, spec: SeriesSpec, settings: Settings) -> DataFra
             "std_raw": F.when(enough, std),
             "sigma": F.when(enough, floored_sigma(std, mu, settings)),
             "n_obs": F.when(enough, F.col("t_n")),
-            "mu_7d": F.when(F.col("r_n") >= 1, F.col("r_s") / F.col("r_n")),
+            "mu_7d": F.when(F.col("r_n") >= 1, mean_of("r_s", "r_n")),
             **{
                 name: F.when(F.col(f"t_n_{c}") >= need, F.col(f"t_s_{c}") / F.col(f"t_n_{c}"))
                 for c, name in COMPONENT_MEANS.items()

@@ -149,6 +149,11 @@ def explain_requests(
     return rows.select(*keys, "origin_date", "target_date", reason.alias("skip_reason"))
 
 
+def published_price(price: Column) -> Column:
+    """Price of two decimals; of a half, as ten decimals show it, the even neighbour."""
+    return F.bround(price.cast("decimal(28, 10)"), 2).cast("double")
+
+
 def forecast_answers(
     predicted: DataFrame,
     silver: DataFrame,
@@ -156,7 +161,7 @@ def forecast_answers(
     spec: SeriesSpec,
     evaluated: DataFrame | None = None,
 ) -> DataFrame:
-    """Forecasts with rounded prices, best and cheapest block and audit fields."""
+    """Forecasts with prices rounded to two decimals, best and cheapest block and audit fields."""
     keys = list(spec.keys)
     near = days_between(silver, predicted.select(F.col("target_date").alias("fecha")))
     published = near.select(*keys, F.col("fecha").alias("target_date")).distinct()
@@ -175,8 +180,7 @@ def forecast_answers(
     )
     end = F.date_add("origin_date", spec.block_days).cast("timestamp_ntz")
     hours = F.transform(
-        "y_pred",
-        lambda p, i: F.struct((i + 1).alias("hora"), F.round(p, 2).alias("pml")),
+        "y_pred", lambda p, i: F.struct((i + 1).alias("hora"), published_price(p).alias("pml"))
     )
     return rows.select(
         *keys,

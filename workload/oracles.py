@@ -145,7 +145,8 @@ SCORES = f"""WITH {FORECASTS}, {scored(
 
 
 def rounded(*columns: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+    """Halves are rounded up, as numbers of ten decimals show them."""
+    return ", ".join(f"CAST(round(CAST({c} AS DECIMAL(28, 10)), 6) AS DOUBLE) AS {c}" for c in columns)
 
 
 SEASONAL = f"""WITH {labelled('weekly')},
@@ -659,8 +660,9 @@ ORACLES: dict[str, str] = {
             WHEN y.node IS NULL THEN 'too little clean history' END AS skip_reason
         FROM found f LEFT JOIN ready y ON y.node = f.node AND y.target_date = f.target_date""",
     "forecast_answers": f"""WITH {answers_sql()},
-        asked AS (SELECT y.* REPLACE (list_transform(y.prices,
-            lambda v: CAST(round(CAST(v AS DECIMAL(24, 10)), 2) AS DOUBLE)) AS prices) FROM ready y JOIN req USING (node, target_date)),
+        asked AS (SELECT y.* REPLACE (list_transform(list_transform(y.prices, lambda v: CAST(v AS DECIMAL(24, 10))),
+            lambda v: CAST(CASE WHEN round(v, 2) - v = 0.005 AND CAST(round(v, 2) * 100 AS BIGINT) % 2 = 1
+                THEN round(v, 2) - 0.01 ELSE round(v, 2) END AS DOUBLE)) AS prices) FROM ready y JOIN req USING (node, target_date)),
         sums AS (SELECT node, target_date, s, list_sum(list_slice(prices, s, s + 3)) AS total
             FROM (SELECT *, unnest(range(1, 5)) AS s FROM asked)),
         picks AS (SELECT node, target_date, min(s) FILTER (total = hi) AS b,

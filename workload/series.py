@@ -31,13 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _observed(df: DataFrame, node: Column, ts: Column, value: Column, spec) -> DataFrame:
     """Mean value per (node, step) as observed silver rows with price components.
 
-    Values have two decimals; they are summed in whole hundredths, so that a mean does not
-    depend on the order of the rows.
+    Values have two decimals; they are summed in whole hundredths, and divided once, so that a mean does
+    not depend on the order of the rows and is the number nearest to the true one.
     """
     slot = clock.slot_of(ts, spec)
     hundredths = F.sum(F.round(value * 100).cast("bigint"))
     steps = df.groupBy(node.alias("node"), slot.alias("slot")).agg(
-        (hundredths / F.count(value) / 100).alias("pml")
+        (hundredths / (F.count(value) * F.lit(100.0))).alias("pml")
     )
     ene, per = F.col("pml") * 0.9, F.col("pml") * 0.05
     hora = clock.hora_of_slot(F.col("slot"), spec)

@@ -15,11 +15,11 @@ from workload.series import (
 DAY_NUMBER = "datediff('day', DATE '1970-01-05', CAST(l_shipdate AS DATE))"
 OBSERVED = {
     "hourly": """SELECT event_type AS node, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot,
-        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / count(value) / 100 AS pml FROM events GROUP BY 1, 2""",
+        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / (count(value) * 100.0::DOUBLE) AS pml FROM events GROUP BY 1, 2""",
     "weekly": f"""SELECT l_returnflag AS node, CAST({DAY_NUMBER} AS BIGINT) AS slot,
-        CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / count(l_extendedprice) / 100 AS pml FROM lineitem GROUP BY 1, 2""",
+        CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / (count(l_extendedprice) * 100.0::DOUBLE) AS pml FROM lineitem GROUP BY 1, 2""",
     "monthly": f"""SELECT n_name AS node, CAST({DAY_NUMBER} // 7 AS BIGINT) AS slot,
-        CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / count(l_extendedprice) / 100 AS pml
+        CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / (count(l_extendedprice) * 100.0::DOUBLE) AS pml
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
         JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2""",
 }
@@ -87,8 +87,11 @@ def stats(name: str, max_interp: int | None = None) -> str:
     n = spec.steps_per_block
     need = settings.min_observations(spec)
     return f"""{grid(name, max_interp)},
-    roll AS (SELECT node, block, hora, fecha, count(pml) OVER w AS c, avg(pml) OVER w AS mu,
-        stddev_pop(pml) OVER w AS sd, avg(pml) OVER r AS mu_7d FROM grid
+    roll AS (SELECT node, block, hora, fecha, count(pml) OVER w AS c,
+        CAST(sum(CAST(round(pml * 100000000) AS BIGINT)) OVER w AS BIGINT) / (count(pml) OVER w * 100000000.0::DOUBLE) AS mu,
+        stddev_pop(pml) OVER w AS sd,
+        CAST(sum(CAST(round(pml * 100000000) AS BIGINT)) OVER r AS BIGINT) / (count(pml) OVER r * 100000000.0::DOUBLE) AS mu_7d
+        FROM grid
         WINDOW w AS (PARTITION BY node ORDER BY slot
                 ROWS BETWEEN {settings.stats_blocks * n - 1} PRECEDING AND CURRENT ROW),
             r AS (PARTITION BY node ORDER BY slot
