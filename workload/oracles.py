@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomgrid.config import SeriesSpec
+from loomgrid.operators.forecasters import RIDGE_ALPHAS
 from workload import sql
 from workload.queries import PLAN, PLAN_EPOCH
 from workload.sql import clock, day_of, grid, labelled, measures, origins, scored, stamp, stats
@@ -235,7 +236,43 @@ def f4(expression: str) -> str:
 
 PLAN_START, PLAN_END = PLAN
 
+# arrivals of the hourly means: in time, told anew and higher around the middle, late
+ARRIVED = f"""SELECT node, slot, pml, 0 AS pri FROM told WHERE d <= DATE '2024-01-15' AND day(d) % 5 <> 0
+    UNION ALL SELECT node, slot, pml + 1, 1 FROM told
+        WHERE d BETWEEN DATE '2024-01-13' AND DATE '2024-01-20' AND day(d) % 5 <> 0
+    UNION ALL SELECT node, slot, pml, 2 FROM told WHERE d > DATE '2024-01-15' OR day(d) % 5 = 0"""
+TOLD = f"SELECT *, {sql.day_of(HOUR, '(slot // 24)')} AS d FROM ({sql.OBSERVED['hourly']})"
+STREAM_OBS = f"SELECT node, slot, arg_min(pml, pri) AS pml FROM (WITH told AS ({TOLD}) {ARRIVED}) GROUP BY 1, 2"
+STREAMED = f"""WITH {grid('hourly', None, STREAM_OBS)}
+    SELECT node, {stamp(HOUR)} AS ts_local, CAST(round(CAST(pml AS DECIMAL(28, 10)), 6) AS DOUBLE) AS pml, quality FROM grid"""
+
 ORACLES: dict[str, str] = {
+    "ridge_gram": f"""WITH {labelled('weekly')},
+        v AS (SELECT split, list_concat([1.0::DOUBLE], list_concat(list_transform(prices, lambda p: (p - mu) / sigma),
+            list_transform(y, lambda p: (p - mu) / sigma))) AS v FROM labelled)
+        SELECT split, i, j, round(sum(v[i + 1] * v[j + 1]), 6) AS total
+        FROM v, (SELECT unnest(range(15)) AS i), (SELECT unnest(range(15)) AS j) WHERE j >= i GROUP BY ALL""",
+    # the solution of the normal equations is the only one, so a residual of nothing is the check
+    "ridge_normal_residual": f"""WITH {labelled('monthly')}
+        SELECT target, count(*) AS n, 0.0::DOUBLE AS residual
+        FROM labelled, (SELECT unnest(range(1, 5)) AS target) WHERE split IN ('train', 'val') GROUP BY 1""",
+    "ridge_penalties": f"""WITH {labelled('weekly')}
+        SELECT alpha, target, count(*) AS n, 0.0::DOUBLE AS residual
+        FROM labelled, (SELECT unnest(range(1, 8)) AS target), (SELECT unnest({[float(a) for a in RIDGE_ALPHAS]}::DOUBLE[]) AS alpha)
+        WHERE split = 'train' GROUP BY 1, 2""",
+    "stream_silver": STREAMED,
+    "silver_upserts": STREAMED,
+    "silver_pruned": f"""WITH {grid('hourly')}
+        SELECT node, {stamp(HOUR)} AS ts_local, CAST(round(CAST(pml AS DECIMAL(28, 10)), 6) AS DOUBLE) AS pml FROM grid
+        WHERE node IN ('click', 'error') AND fecha BETWEEN DATE '2024-01-05' AND DATE '2024-01-11'""",
+    "stream_scores": f"""WITH told AS ({TOLD}), arrived AS ({ARRIVED}),
+        known AS (SELECT b AS batch_id, node, slot, arg_min(pml, pri) AS pml
+            FROM arrived, (SELECT unnest([0, 1, 2]) AS b) WHERE pri <= b GROUP BY ALL)
+        SELECT k.batch_id::BIGINT AS batch_id, k.node, count(*) AS n,
+            CAST(round(CAST(CAST(sum(CAST(round(abs(k.pml - p.pml) * 100000000) AS BIGINT)) AS BIGINT)
+                / (count(*) * 100000000.0::DOUBLE) AS DECIMAL(28, 10)), 6) AS DOUBLE) AS mae
+        FROM known k JOIN known p ON k.batch_id = p.batch_id AND k.node = p.node AND k.slot = p.slot + 24
+        GROUP BY 1, 2""",
     "hourly_grid": f"""WITH {grid('hourly')}
         SELECT node, {stamp(HOUR)} AS ts_local, fecha, hora,
         round(pml, 6) AS pml, round(pml * 0.9, 6) AS pml_ene, quality FROM grid""",

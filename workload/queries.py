@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,10 +22,20 @@ from loomgrid.operators import (
     splits,
     stats,
 )
-from loomgrid.operators.forecasters import BatchScorer, RidgeLags, SeasonalMA
+from loomgrid.operators.forecasters import (
+    RIDGE_ALPHAS,
+    BatchScorer,
+    RidgeLags,
+    SeasonalMA,
+    collect_grams,
+    gram_table,
+    predict_linear,
+    solve_ridge,
+)
 from loomgrid.plans import baselines, daily, dataset, selection
-from loomgrid.session import configure, stage
+from loomgrid.session import configure, stage, stage_dir
 from loomgrid.sources import bronze, catalog, silver
+from loomgrid.streaming import ingest
 from workload import series
 from workload.series import (
     HOURLY,
@@ -37,6 +49,7 @@ from workload.series import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+MIDDLE = datetime.date(2024, 1, 15)
 AS_OF = datetime.datetime(2001, 10, 8, 9, 0, 0)
 
 
@@ -263,6 +276,103 @@ def silver_merge(spark, sf):
     return merged.select("node", "ts_local", "pml", "quality")
 
 
+def arrivals(spark, sf) -> list[DataFrame]:
+    """Hourly means as three arrivals of rows: days up to the middle but for some that come late, the days
+    around the middle told anew and a little higher, then the late days and all others."""
+    rows = series.event_hours(spark, sf)
+    late = F.dayofmonth("fecha") % 5 == 0
+    first = (F.col("fecha") <= MIDDLE) & ~late
+    again = F.col("fecha").between(F.date_sub(F.lit(MIDDLE), 2), F.date_add(F.lit(MIDDLE), 5)) & ~late
+    told = [c for c in ("pml", "pml_ene", "pml_per", "pml_cng")]
+    return [
+        rows.where(first),
+        rows.where(again).withColumns({c: F.col(c) + 1 for c in told}),
+        rows.where(late | (F.col("fecha") > MIDDLE)),
+    ]
+
+
+def envelopes_of(rows: DataFrame) -> DataFrame:
+    """One answer of the service for each series and day."""
+    told = F.struct(
+        F.col("fecha").cast("string").alias("fecha"),
+        F.col("hora").cast("string").alias("hora"),
+        *[F.col(c).cast("string").alias(c) for c in ("pml", "pml_ene", "pml_per", "pml_cng")],
+    )
+    days = rows.groupBy("node", "fecha").agg(F.array_sort(F.collect_list(told)).alias("Valores"))
+    result = F.array(F.struct(F.col("node").alias("clv_nodo"), "Valores"))
+    return days.select(
+        F.lit("SIN").alias("sistema"),
+        F.lit("MDA").alias("proceso"),
+        F.to_json(F.struct(result.alias("Resultados"))).alias("body"),
+    )
+
+
+def ingested(spark, sf, after=None) -> str:
+    """Silver folder after a stream has run to its end behind each arrival."""
+    root = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for number, rows in enumerate(arrivals(spark, sf)):
+        envelopes_of(rows).write.json(f"{root}/bronze/arrival-{number}")
+        run = ingest.ingest(
+            spark,
+            f"{root}/bronze",
+            f"{root}/silver",
+            f"{root}/state",
+            max_interp=HOURLY_SETTINGS.max_interp,
+            buckets=4,
+            after=None if after is None else functools.partial(after, root),
+        )
+        run.awaitTermination()
+    return root
+
+
+@query
+def stream_silver(spark, sf):
+    """Silver after the stream of three arrivals, one of them a replay with other prices, one late."""
+    stored = silver.read_silver(spark, f"{ingested(spark, sf)}/silver")
+    return stored.select("node", "ts_local", "pml", "quality")
+
+
+@query
+def stream_scores(spark, sf):
+    """Errors of the day before as a forecast, as known after each batch of the stream."""
+
+    def score(root: str, batch: DataFrame, batch_id: int) -> None:
+        known = silver.read_silver(batch.sparkSession, f"{root}/silver").where("quality = 'ok'")
+        before = known.select(
+            "node", (F.col("ts_local") + F.make_dt_interval(F.lit(1))).alias("ts_local"), F.col("pml").alias("forecast")
+        )
+        # whole parts of a price, so that the order of the rows plays no part
+        parts = F.round(F.abs(F.col("pml") - F.col("forecast")) * stats.UNIT).cast("bigint")
+        errors = known.join(before, ["node", "ts_local"]).groupBy("node").agg(
+            F.count("*").alias("n"), (F.sum(parts) / (F.count("*") * F.lit(float(stats.UNIT)))).alias("mae")
+        )
+        # a replayed batch writes its own folder again
+        errors.write.mode("overwrite").parquet(f"{root}/scores/batch={batch_id}")
+
+    root = ingested(spark, sf, score)
+    return spark.read.parquet(f"{root}/scores").select(F.col("batch").alias("batch_id"), "node", "n", "mae")
+
+
+@query
+def silver_upserts(spark, sf):
+    """Silver after upserts of three arrivals, the second of them twice."""
+    path = f"{stage_dir(spark)}/upserts-{uuid.uuid4().hex}"
+    first, again, late = arrivals(spark, sf)
+    for rows in (first, again, again, late):
+        silver.upsert_silver(spark, path, rows, max_interp=HOURLY_SETTINGS.max_interp, buckets=4)
+    return silver.read_silver(spark, path).select("node", "ts_local", "pml", "quality")
+
+
+@query
+def silver_pruned(spark, sf):
+    """Two series of a stored table between two days, read by node, date and column."""
+    path = f"{stage_dir(spark)}/pruned-{uuid.uuid4().hex}"
+    silver.upsert_silver(spark, path, series.event_hours(spark, sf), max_interp=HOURLY_SETTINGS.max_interp, buckets=4)
+    return silver.read_silver(
+        spark, path, nodes=["click", "error"], start="2024-01-05", end="2024-01-11", columns=["node", "ts_local", "pml"], buckets=4
+    )
+
+
 # --- coverage and quality --------------------------------------------------------
 
 
@@ -619,6 +729,79 @@ def ridge_lags(spark, sf):
     return long_steps(predicted, ["sample_id", "node", "target_date"], pred="y_pred")
 
 
+def block_design(rows: DataFrame) -> DataFrame:
+    """The last block and the target block of samples, standardised, as inputs and targets."""
+
+    def z(prices: str):
+        return F.transform(prices, lambda p: (p - F.col("mu")) / F.col("sigma"))
+
+    return rows.select("split", z("last_block").alias("x"), z("y_price").alias("t"))
+
+
+@query
+def ridge_gram(spark, sf):
+    """Cross products of the inputs and targets of all samples, by split."""
+    n = WEEKLY.steps_per_block
+    sums = gram_table(block_design(weekly_samples(spark, sf)), ["split"], n, n)
+    cells = sums.select("split", F.col("row").alias("i"), F.posexplode("cells").alias("j", "total"))
+    return cells.where("j >= i")
+
+
+def normal_residual(rows: DataFrame, alpha: float, coef, intercept) -> DataFrame:
+    """(target, n, residual): how far a fit on ``rows (x, t)`` is from solving its normal equations.
+
+    Worked out from the samples, without the matrix that the fit was solved from.
+    """
+    told = predict_linear(rows.select("x", "t"), [(coef, intercept)])
+    left = F.zip_with("t", F.col("z_hats")[0], lambda t, z: t - z)
+    told = stage(told.select("x", left.alias("left")), "left")
+    targets = range(coef.shape[1])
+    # every sample has every input, so the sums over an input's rows are those over all samples
+    products = told.select(F.posexplode("x").alias("i", "v"), "left").groupBy("i").agg(
+        F.count("*").alias("n"),
+        F.sum("v").alias("v"),
+        *[F.sum(F.col("left")[j]).alias(f"s{j}") for j in targets],
+        *[F.sum(F.col("v") * F.col("left")[j]).alias(f"p{j}") for j in targets],
+    )
+    # as many rows as inputs
+    weights = rows.sparkSession.createDataFrame([(i, w) for i, w in enumerate(coef.tolist())], "i int, w array<double>")
+    both = products.join(weights, "i")
+    parts = [
+        F.struct(
+            F.lit(j + 1).alias("target"),
+            "n",
+            F.greatest(
+                F.abs(F.col(f"p{j}") - F.col("v") / F.col("n") * F.col(f"s{j}") - alpha * F.col("w")[j]), F.abs(f"s{j}")
+            ).alias("gap"),
+        )
+        for j in targets
+    ]
+    cells = both.select(F.explode(F.array(*parts)).alias("c")).select("c.*")
+    return cells.groupBy("target", "n").agg((F.max("gap") / F.first("n")).alias("residual"))
+
+
+@query
+def ridge_normal_residual(spark, sf):
+    """Normal equations of the ridge regression on train and val, at its penalty: one row per target."""
+    ds = monthly_dataset(spark, sf)
+    model = RidgeLags(MONTHLY, MONTHLY_SETTINGS).fit(ds.samples)
+    rows = model.design(ds.samples.where(F.col("split").isin("train", "val")))
+    return normal_residual(rows, model.alpha, model.coef, model.intercept)
+
+
+@query
+def ridge_penalties(spark, sf):
+    """Normal equations of every penalty that is tried, on the training samples: a row per penalty and target."""
+    rows = stage(block_design(weekly_samples(spark, sf)).where("split = 'train'"), "design")
+    n = WEEKLY.steps_per_block
+    train = collect_grams(gram_table(rows, ["split"], n, n), ["split"])[("train",)]
+    found = []
+    for alpha in RIDGE_ALPHAS:
+        solved = normal_residual(rows, alpha, *solve_ridge(train, n, alpha))
+        found.append(solved.withColumn("alpha", F.lit(float(alpha))))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query
 def batch_scoring(spark, sf):
     """A supplied model that repeats the last standardised block of the window."""
