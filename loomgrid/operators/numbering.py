@@ -78,8 +78,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one column per probability.
 
-    A histogram of fixed buckets locates the bucket of every wanted rank; only the
-    distinct values of those buckets are then ranked. Neither step holds a whole
+    A histogram of fixed buckets locates the bucket of every wanted rank; only the rows of
+    those buckets are then shuffled and their distinct values ranked. Neither step holds a whole
     group in one task, unlike an aggregate that collects the values.
     """
     # a constant key keeps the ungrouped case on the same path
@@ -113,7 +113,11 @@ def exact_quantiles(
     needed = histogram.select(*groups, "b", "start", inside.alias("ranks")).where(
         F.size("ranks") > 0
     )
-    ranked = rows.groupBy(*groups, "b", "v").agg(F.count("*").alias("n"))
+    # at most two buckets per group and probability; written, so that Spark knows their size
+    # and need not shuffle the values of all others to find theirs
+    needed = stage(needed, "needed")
+    ranked = rows.join(needed.select(*groups, "b"), [*groups, "b"], "left_semi")
+    ranked = ranked.groupBy(*groups, "b", "v").agg(F.count("*").alias("n"))
     ranked = ranked.join(needed, [*groups, "b"])
     last = F.sum("n").over(Window.partitionBy(*groups, "b").orderBy("v")) + F.col("start")
     ranked = ranked.withColumn("stop", last).withColumn(
