@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.config import RIDGE_ALPHAS
@@ -22,6 +22,7 @@ from loomgrid.operators.forecasters import (
 )
 from loomgrid.plans.baselines import forecast_rows
 from loomgrid.plans.dataset import Dataset, build_dataset
+from loomgrid.session import stage
 
 WINDOW_BLOCKS = (3, 7, 14)
 # First days of the training-range study.
@@ -239,6 +240,40 @@ def verdict(ablation: DataFrame) -> DataFrame:
     )
 
 
+def ranking(table: DataFrame, by: str = "val_mae") -> DataFrame:
+    """The configurations of a study (one row each) with their ``rank`` and which one is ``chosen``.
+
+    Configurations of the same error are ranked by their own columns, unknown errors last.
+    """
+    own = [c for c in table.columns if not c.startswith(("val_", "test_"))]
+    order = Window.orderBy(F.col(by).asc_nulls_last(), *own)
+    ranked = table.withColumn("rank", F.row_number().over(order))
+    return ranked.withColumn("chosen", (F.col("rank") == 1) & F.col(by).isNotNull())
+
+
+def report_tables(
+    search: DataFrame | None = None,
+    folds: DataFrame | None = None,
+    windows: DataFrame | None = None,
+    training: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Tables of a selection report by name, of the studies that were made.
+
+    ``search``, ``windows`` and ``training`` are ranked by validation error; of the hold-out ``folds``
+    come their averages, each model's rank within its regime, and the verdict on metadata.
+    """
+    studies = {"search": search, "windows": windows, "training": training}
+    tables = {name: ranking(table) for name, table in studies.items() if table is not None}
+    if folds is not None:
+        # folds are models that were fitted: written, since two tables read them
+        folds = stage(folds, "folds")
+        order = Window.partitionBy("regime").orderBy(F.col("mae").asc_nulls_last(), "model")
+        tables["holdout"] = folds
+        tables["ablation"] = ablation_table(folds).withColumn("rank", F.row_number().over(order))
+        tables["verdict"] = verdict(tables["ablation"])
+    return tables
+
+
 def _evaluate_ridge(ds: Dataset) -> tuple[float, DataFrame]:
     model = RidgeLags(ds.spec, ds.settings).fit(ds.samples)
     rows = model.design(ds.samples)

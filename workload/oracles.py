@@ -725,6 +725,16 @@ ORACLES["model_comparison"] = (
     )
     + f" SELECT model AS model_name, {measures(7)} FROM scored GROUP BY 1"
 )
+ORACLES["selection_report"] = f"""WITH found AS (
+        {WEEK_ALL} SELECT model, split, sum(abs_sum) / (count(*) * 7) AS mae FROM scored GROUP BY 1, 2),
+    search AS (SELECT model, max(mae) FILTER (split = 'val') AS mae FROM found GROUP BY 1),
+    folds AS ({ORACLES['holdout_naive']}),
+    averages AS (SELECT regime, model, avg(mae) AS mae FROM folds GROUP BY 1, 2)
+    SELECT 'search' AS section, model AS entry, row_number() OVER (ORDER BY mae NULLS LAST, model) AS rank,
+        CAST(row_number() OVER (ORDER BY mae NULLS LAST, model) = 1 AS BIGINT) AS chosen, round(mae, 4) AS mae FROM search
+    UNION ALL SELECT 'ablation', model, row_number() OVER (PARTITION BY regime ORDER BY mae NULLS LAST, model),
+        NULL, round(mae, 4) FROM averages
+    UNION ALL SELECT 'holdout', held_out || ' ' || model, NULL, NULL, round(mae, 4) FROM folds"""
 ORACLES["ablation"] = f"""WITH folds AS ({ORACLES['holdout_naive']})
     SELECT regime, model, count(DISTINCT held_out) AS folds,
     CAST(sum(n_test) AS BIGINT) AS n_test, round(avg(mae), 4) AS mae, round(avg(skill), 4) AS skill,

@@ -965,6 +965,35 @@ def metadata_verdict(spark, sf):
     return selection.verdict(selection.ablation_table(selection.holdout(ds, "zone")))
 
 
+@query
+def selection_report(spark, sf):
+    """Report tables of both naive forecasts as configurations, and of their zone hold-out, in one table."""
+    rows = evaluate.score(naive_forecasts(weekly_samples(spark, sf)), WEEKLY_SETTINGS.top_k, "y_ref")
+    errors = evaluate.metrics_by(rows, ["model_name", "split"])
+    search = errors.groupBy("model_name").agg(
+        F.max(F.when(F.col("split") == "val", F.col("mae"))).alias("val_mae"),
+        F.max(F.when(F.col("split") == "test", F.col("mae"))).alias("test_mae"),
+    )
+    folds = selection.holdout(monthly_dataset(spark, sf), "zone", kinds=())
+    tables = selection.report_tables(search, folds)
+    ranked = tables["search"].select(
+        F.lit("search").alias("section"), F.col("model_name").alias("entry"), "rank", "chosen", F.col("val_mae").alias("mae")
+    )
+    averaged = tables["ablation"].select(
+        F.lit("ablation").alias("section"), F.col("model").alias("entry"), "rank", F.lit(None).alias("chosen"), "mae"
+    )
+    told = tables["holdout"].select(
+        F.lit("holdout").alias("section"),
+        F.concat_ws(" ", "held_out", "model").alias("entry"),
+        F.lit(None).alias("rank"),
+        F.lit(None).alias("chosen"),
+        "mae",
+    )
+    kinds = "section string, entry string, rank int, chosen boolean, mae double"
+    parts = [x.select(*[F.col(k.split()[0]).cast(k.split()[1]) for k in kinds.split(", ")]) for x in (ranked, averaged, told)]
+    return functools.reduce(DataFrame.unionByName, parts).withColumn("mae", F.round("mae", 4))
+
+
 @query
 def window_search(spark, sf):
     ds = monthly_dataset(spark, sf)
