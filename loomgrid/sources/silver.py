@@ -1,7 +1,15 @@
-"""Silver tables: layout, pruned reads and idempotent merges."""
+"""Silver tables: layout, versions, pruned reads and idempotent merges.
+
+A table is a folder of versions and of manifests. A write puts the partitions it replaces (market, bucket of
+nodes, year) into a version of its own, then adds the manifest that says which version each partition is
+read from. Readers take the newest manifest, so they see the state before a write or behind it, also while
+it runs or if it fails; what a failed write left is overwritten by the next one.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,34 +19,124 @@ from loomgrid.config import OBSERVED, PRICES, SeriesSpec
 from loomgrid.operators.cleaning import first_observed
 from loomgrid.operators.grid import build_grid
 from loomgrid.schemas import SILVER_COLUMNS
-from loomgrid.session import stage
 
 # series are spread over this many folders; a merge rewrites only those it touches
 BUCKETS = 64
 PARTITIONS = ("market", "bucket", "year")
+DATA, MANIFESTS = "data", "_manifests"
 
 
 def bucket_of(node: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
 
 
+def _system(spark: SparkSession, path: str):
+    """A path and its file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the table's states, in order; none where there is no table."""
+    folder, system = _system(spark, f"{path}/{MANIFESTS}")
+    if not system.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(folder)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n[:1].isdigit())
+
+
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict[tuple, int]:
+    """Version that each partition is read from, in a state of the table or the newest one.
+
+    It has a row per market, bucket and year, whatever the number of rows.
+    """
+    known = versions(spark, path)
+    if not known:
+        return {}
+    number = known[-1] if version is None else version
+    kinds = ", ".join([*(f"{c} {'string' if c == 'market' else 'int'}" for c in PARTITIONS), "version int"])
+    rows = spark.read.schema(kinds).json(f"{path}/{MANIFESTS}/{number}.json").collect()
+    return {tuple(r[c] for c in PARTITIONS): r["version"] for r in rows}
+
+
+def _publish(spark: SparkSession, path: str, number: int, entries: dict[tuple, int]) -> None:
+    """Add a manifest: written aside, then renamed, so that it is there whole or not at all."""
+    lines = [json.dumps({**dict(zip(PARTITIONS, k)), "version": v}) for k, v in sorted(entries.items())]
+    aside, system = _system(spark, f"{path}/{MANIFESTS}/_{number}-{uuid.uuid4().hex}")
+    final, _ = _system(spark, f"{path}/{MANIFESTS}/{number}.json")
+    out = system.create(aside, False)
+    out.write(bytearray("\n".join(lines).encode()))
+    out.close()
+    if system.exists(final) or not system.rename(aside, final):
+        raise RuntimeError(f"another write made version {number} of {path} first")
+
+
 def write_silver(silver: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Write rows by market, bucket of nodes and year, sorted by node and time.
+    """Write rows by market, bucket of nodes and year, sorted by node and time, as a new version.
 
     Only the partitions present in ``silver`` are replaced. A year of one bucket
     goes to one file, so a long series is split by year.
     """
+    spark = silver.sparkSession
+    number = max(versions(spark, path), default=0) + 1
     rows = silver.withColumns(
         {"bucket": bucket_of(F.col("node"), buckets), "year": F.year("fecha")}
     )
+    folder = f"{path}/{DATA}/version={number}"
     (
         rows.repartition(*PARTITIONS)
         .sortWithinPartitions(*PARTITIONS, "node", "ts_local")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static")
         .partitionBy(*PARTITIONS)
-        .parquet(path)
+        .parquet(folder)
     )
+    written = spark.read.parquet(folder).select(*PARTITIONS).distinct().collect()
+    fresh = {tuple(r[c] for c in PARTITIONS): number for r in written}
+    _publish(spark, path, number, {**manifest(spark, path), **fresh})
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Remove all states but the last ``keep``, and the partitions that only they read."""
+    known = versions(spark, path)
+    kept, old = known[-keep:], known[:-keep]
+    used = {x for number in kept for x in manifest(spark, path, number).items()}
+    for number in old:
+        for entry in manifest(spark, path, number).items():
+            if entry not in used:
+                folder, system = _system(spark, _partition(path, *entry))
+                system.delete(folder, True)
+    for number in old:
+        file, system = _system(spark, f"{path}/{MANIFESTS}/{number}.json")
+        system.delete(file, False)
+
+
+def _partition(path: str, partition: tuple, version: int) -> str:
+    parts = "/".join(f"{c}={v}" for c, v in zip(PARTITIONS, partition))
+    return f"{path}/{DATA}/version={version}/{parts}"
+
+
+def stored(
+    spark: SparkSession,
+    path: str,
+    version: int | None = None,
+    market: str | None = None,
+    years: tuple[int | None, int | None] = (None, None),
+) -> DataFrame:
+    """Rows of a state of the table; partitions of other markets and years are not even listed."""
+    entries = manifest(spark, path, version)
+    first, last = years
+    wanted = [
+        _partition(path, p, v)
+        for p, v in entries.items()
+        if (market is None or p[0] == market)
+        and (first is None or p[2] >= first)
+        and (last is None or p[2] <= last)
+    ]
+    reader = spark.read.option("basePath", f"{path}/{DATA}")
+    if not wanted:  # any partition tells the columns
+        return reader.parquet(_partition(path, *next(iter(entries.items())))).where(F.lit(False))
+    return reader.parquet(*wanted)
 
 
 def read_silver(
@@ -50,13 +148,15 @@ def read_silver(
     end=None,
     columns: list[str] | None = None,
     buckets: int = BUCKETS,
+    version: int | None = None,
 ) -> DataFrame:
     """Silver rows of a market, pruned by node, operation date and column.
 
     A list of nodes prunes whole buckets; dates prune years. Row groups are then
-    skipped on the pushed-down predicates.
+    skipped on the pushed-down predicates. ``version`` reads an earlier state that is still kept.
     """
-    rows = spark.read.parquet(path)
+    years = tuple(None if d is None else int(str(d)[:4]) for d in (start, end))
+    rows = stored(spark, path, version, market, years)
     if market is not None:
         rows = rows.where(F.col("market") == market)
     if isinstance(nodes, DataFrame):
@@ -100,11 +200,6 @@ def by_market(spec: SeriesSpec, rows: DataFrame) -> SeriesSpec:
     return replace(spec, keys=("market", *spec.keys))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def upsert_silver(
     spark: SparkSession,
     path: str,
@@ -115,13 +210,13 @@ def upsert_silver(
 ) -> None:
     """Merge observed rows into a silver table.
 
-    Only the (market, bucket) folders of incoming nodes are read and rewritten. The
-    new rows are written to a staging table first, so the table is never read and
-    overwritten in one job and a failed run can be repeated.
+    Only the (market, bucket) folders of incoming nodes are read and rewritten, in a
+    version of their own, so the table is never read and overwritten in one job and a
+    failed run can be repeated.
     """
     keyed = incoming.withColumn("bucket", bucket_of(F.col("node"), buckets))
     existing = None
-    if _exists(spark, path):
+    if versions(spark, path):
         # bounded by markets x buckets
         touched = keyed.select("market", "bucket").distinct().collect()
         pick = F.lit(False)
@@ -129,9 +224,9 @@ def upsert_silver(
             numbers = [r["bucket"] for r in touched if r["market"] == market]
             pick = pick | ((F.col("market") == market) & F.col("bucket").isin(numbers))
         existing = (
-            spark.read.parquet(path)
+            stored(spark, path)
             .where(pick & F.col("quality").isin(list(OBSERVED)))
             .select(*SILVER_COLUMNS)
         )
     merged = merge_observed(existing, incoming.select(*SILVER_COLUMNS), spec, max_interp)
-    write_silver(stage(merged.select(*SILVER_COLUMNS), "silver"), path, buckets)
+    write_silver(merged.select(*SILVER_COLUMNS), path, buckets)

@@ -215,6 +215,33 @@ def test_merge_is_idempotent_and_keeps_stored_rows(spark, tmp_path):
     assert last == datetime.date(2024, 1, 20)
 
 
+def test_a_failed_write_leaves_the_state_before_it(spark, tmp_path, monkeypatch):
+    path, start = str(tmp_path / "silver"), datetime.date(2023, 12, 30)
+    first = hourly_rows(spark, price_days("A", start, 4, seed=1))
+    more = hourly_rows(spark, price_days("A", start + datetime.timedelta(days=4), 2, seed=2))
+    silver.upsert_silver(spark, path, first, SERIES)
+    state = lambda **kw: sorted(map(tuple, silver.read_silver(spark, path, **kw).select("ts_local", "pml").collect()))
+    before = state()
+    open_reader = silver.read_silver(spark, path)
+    with monkeypatch.context() as broken:
+        broken.setattr(silver, "_publish", lambda *x: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            silver.upsert_silver(spark, path, more, SERIES)
+    assert state() == before and silver.versions(spark, path) == [1]
+    silver.upsert_silver(spark, path, more, SERIES)
+    assert len(state()) == 144 and state(version=1) == before
+    # a reader that began before the write still reads what it saw
+    assert open_reader.count() == 96
+    assert silver.read_silver(spark, path, start="2030-01-01").count() == 0
+    other = hourly_rows(spark, price_days("A", datetime.date(2024, 1, 5), 1, seed=3))
+    silver.upsert_silver(spark, path, other, SERIES)
+    whole = state()
+    silver.drop_old_versions(spark, path)
+    assert state() == whole and silver.versions(spark, path) == [3]
+    with pytest.raises(RuntimeError, match="another write"):
+        silver._publish(spark, path, 3, {})
+
+
 def test_reads_prune_partitions(spark, tmp_path):
     path = str(tmp_path / "silver")
     rows = hourly_rows(spark, price_days("A", datetime.date(2023, 12, 30), 5))
