@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomgrid.config import LEVEL_MIN_ABS, RIDGE_ALPHAS, SeriesSpec, Settings
 from loomgrid.functions import calendar
 from loomgrid.functions.scaling import invert_array
-from loomgrid.operators.stats import block_partials
+from loomgrid.operators.stats import block_partials, mean_of
 
 
 class Naive24:
@@ -83,7 +83,7 @@ class SeasonalMA:
         days = block_partials(recent, self.spec, steps=True).where(F.col("n") == n)
         days = days.select(
             *keys,
-            (F.col("s") / F.col("n")).alias("level"),
+            mean_of("s", "n").alias("level"),
             F.dayofyear("fecha").alias("doy"),
             F.weekday("fecha").alias("dow"),
             calendar.season_of(F.col("fecha")).alias("season"),
@@ -151,7 +151,7 @@ def ridge_design(spec: SeriesSpec, settings: Settings, metadata: bool = False) -
     return F.concat(*parts)
 
 
-def _complete(column: str) -> Column:
+def complete(column: str) -> Column:
     return ~F.exists(column, lambda v: v.isNull() | F.isnan(v))
 
 
@@ -184,7 +184,7 @@ def gram_table(rows: DataFrame, strata: list[str], n_inputs: int, n_targets: int
 
     labels = "".join(f"{s} string, " for s in strata)
     schema = f"{labels}row int, " + ", ".join(f"{c} double" for c in columns)
-    known = rows.where(_complete("x") & _complete("t")).select(*strata, "x", "t")
+    known = rows.where(complete("x") & complete("t")).select(*strata, "x", "t")
     return (
         known.mapInPandas(partial, schema)
         .groupBy(*strata, "row")
@@ -223,14 +223,34 @@ def predict_linear(rows: DataFrame, models: list[tuple[np.ndarray, np.ndarray]])
         if not len(x):
             return pd.Series([], dtype=object)
         z = np.vstack(x.to_numpy()).astype(float) @ stacked + offset
-        return pd.Series(list(z.reshape(len(x), -1, width))).map(lambda m: [list(r) for r in m])
+        return pd.Series(z.reshape(len(x), -1, width).tolist())
 
-    usable = F.when(_complete("x"), F.col("x")).otherwise(
+    usable = F.when(complete("x"), F.col("x")).otherwise(
         F.array_repeat(F.lit(float("nan")), stacked.shape[0])
     )
     return rows.withColumn("z_hats", apply(usable))
 
 
+def predict_chosen(rows: DataFrame, choice: str, models: dict[int, list[tuple]]) -> DataFrame:
+    """Add ``z_hats``: one target array for each of the models that a row's ``choice`` names."""
+    stacked = {i: (np.hstack([c for c, _ in m]), np.concatenate([b for _, b in m])) for i, m in models.items()}
+    first = next(iter(models.values()))
+    width, inputs = len(first[0][1]), first[0][0].shape[0]
+
+    @F.pandas_udf("array<array<double>>")
+    def apply(x: pd.Series, place: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        values, out = np.vstack(x.to_numpy()).astype(float), np.empty((len(x), len(first), width))
+        for i in place.unique():
+            here, (coef, intercept) = (place == i).to_numpy(), stacked[i]
+            out[here] = (values[here] @ coef + intercept).reshape(-1, len(first), width)
+        return pd.Series(out.tolist())
+
+    usable = F.when(complete("x"), F.col("x")).otherwise(F.array_repeat(F.lit(float("nan")), inputs))
+    return rows.withColumn("z_hats", apply(usable, choice))
+
+
 def price_of(z: Column) -> Column:
     """Prices of a z array; an array with an unknown input becomes null."""
     prices = invert_array(z, F.col("mu"), F.col("sigma"))

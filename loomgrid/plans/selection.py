@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import datetime
+import functools
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.config import RIDGE_ALPHAS
-from loomgrid.operators import evaluate, splits
+from loomgrid.config import RIDGE_ALPHAS, UNKNOWN
+from loomgrid.operators import effects, evaluate, splits
 from loomgrid.operators.forecasters import (
     RidgeLags,
     collect_grams,
     gram_table,
+    predict_chosen,
     predict_linear,
     price_errors,
     price_of,
@@ -32,7 +35,7 @@ TRAINING_STARTS = (
     datetime.date(2022, 1, 1),
     datetime.date(2024, 1, 1),
 )
-KINDS = ("history", "metadata")
+KINDS = ("history", "metadata", "node_id")
 REST = "~rest"
 
 
@@ -100,62 +103,16 @@ def best(table: DataFrame, by: str = "val_mae") -> DataFrame:
 def holdout(
     ds: Dataset, regime: str, max_folds: int = 3, kinds: tuple[str, ...] = KINDS
 ) -> DataFrame:
-    """Compare model kinds and both naive forecasts on held-out nodes or zones.
+    """Compare model kinds and both naive forecasts on held-out nodes or zones."""
+    return fold_errors(holdout_forecasts(ds, (regime,), max_folds, kinds), ds.settings.top_k)
 
-    The samples are summed once per (split, held-out label); the matrix of a fold
-    is the total minus the held-out part, so no fold re-reads the training data.
-    Folds without test or train samples are skipped.
-    """
-    if regime == "node":
-        folds, by = splits.node_folds(ds.index, max_folds), "node"
-    elif regime == "zone":
-        folds, by = splits.zone_folds(ds.index, max_folds), "zone"
-    else:
-        raise ValueError("regime must be 'node' or 'zone'")
-    # at most max_folds labels
-    labels = [r["held_out"] for r in folds.select("held_out").orderBy("fold").collect()]
-    parts = []
-    for kind in kinds:
-        rows, p = _ridge_rows(ds, kind != "history")
-        held = F.when(F.col(by).isin(labels), F.col(by)).otherwise(F.lit(REST))
-        rows = rows.withColumn("held", held)
-        fit = rows.where(F.col("split").isin("train", "val"))
-        strata = ["split", "held"]
-        grams = collect_grams(gram_table(fit, strata, p, ds.spec.steps_per_block), strata)
-
-        def total(split: str, without: str):
-            kept = [g for (s, h), g in grams.items() if s == split and h != without]
-            return sum(kept) if kept else None
-
-        usable = [label for label in labels if total("train", label) is not None]
-        fitted = _fit_folds(rows, usable, total, p)
-        if fitted:
-            parts.append(_per_fold(rows.where(F.col("split") == "test"), usable, fitted, kind))
-    inside = ds.positions("test").where(F.col(by).isin(labels))
-    for name, column in (("naive168", "week_block"), ("naive24", "last_block")):
-        parts.append(
-            inside.select(
-                "sample_id",
-                "node",
-                "region",
-                "zone",
-                "split",
-                "is_spike_day",
-                F.lit(name).alias("model_name"),
-                F.col("y_price").alias("y_true"),
-                F.col(column).alias("y_pred"),
-                F.col("week_block").alias("y_ref"),
-            )
-        )
-    forecasts = parts[0]
-    for part in parts[1:]:
-        forecasts = forecasts.unionByName(part)
-    scored = evaluate.score(forecasts, ds.settings.top_k, "y_ref")
-    summary = evaluate.summarize(scored, [by, "model_name"])
+
+def fold_errors(forecasts: DataFrame, top_k: int) -> DataFrame:
+    """One row per (regime, held_out, model) from the forecasts of a hold-out, stored or not."""
+    scored = evaluate.score(forecasts, top_k, "y_ref")
+    summary = evaluate.summarize(scored, ["regime", "held_out", "model_name"])
     everything, normal = F.col("subset") == "all", F.col("subset") == "no_spike"
-    return summary.groupBy(
-        F.lit(regime).alias("regime"), F.col(by).alias("held_out"), F.col("model_name").alias("model")
-    ).agg(
+    return summary.groupBy("regime", "held_out", F.col("model_name").alias("model")).agg(
         F.max(F.when(everything, F.col("n_samples"))).alias("n_test"),
         F.max(F.when(everything, F.col("mae"))).alias("mae"),
         F.max(F.when(everything, F.col("skill"))).alias("skill"),
@@ -164,58 +121,189 @@ def holdout(
     )
 
 
-def _fit_folds(rows: DataFrame, labels: list[str], total, n_inputs: int) -> list[tuple]:
-    """Model of every fold; the penalties of all folds are scored in one pass over val."""
-    candidates = [
-        (label, alpha, solve_ridge(total("train", label), n_inputs, alpha))
-        for label in labels
-        for alpha in RIDGE_ALPHAS
-    ]
-    with_val = {label for label in labels if total("val", label) is not None}
-    errors = {}
-    if with_val:
-        val = rows.where(F.col("split") == "val")
-        scored = predict_linear(val, [m for _, _, m in candidates]).select(
-            "held", price_errors("z_hats").alias("errors")
-        )
-        means = [
-            F.avg(F.when(F.col("held") != label, F.get("errors", F.lit(i))))
-            for i, (label, _, _) in enumerate(candidates)
-        ]
-        for (label, alpha, _), value in zip(candidates, scored.agg(*means).first()):
-            errors[(label, alpha)] = float("inf") if value is None else value
-    fitted = []
-    for label in labels:
-        train, val_part = total("train", label), total("val", label)
-        alpha = RIDGE_ALPHAS[len(RIDGE_ALPHAS) // 2]
-        if label in with_val:
-            alpha = min(RIDGE_ALPHAS, key=lambda a: errors[(label, a)])
-        whole = train if val_part is None else train + val_part
-        fitted.append(solve_ridge(whole, n_inputs, alpha))
-    return fitted
-
-
-def _per_fold(rows: DataFrame, labels: list[str], models: list[tuple], kind: str) -> DataFrame:
-    """Held-out forecasts: each sample is forecast by the model that never saw its label."""
-    inside = rows.where(F.col("held").isin(labels))
-    place = F.array_position(F.array(*map(F.lit, labels)), F.col("held")).cast("int")
-    predicted = predict_linear(inside, models).withColumn(
-        "y_pred", price_of(F.element_at("z_hats", place))
-    )
-    return predicted.select(
-        "sample_id",
-        "node",
-        "region",
-        "zone",
-        "split",
-        "is_spike_day",
-        F.lit(kind).alias("model_name"),
+FORECAST_FACTS = ("sample_id", "node", "region", "zone", "split", "is_spike_day")
+
+
+def holdout_forecasts(
+    ds: Dataset,
+    regimes: tuple[str, ...] = ("node", "zone"),
+    max_folds: int = 3,
+    kinds: tuple[str, ...] = KINDS,
+) -> DataFrame:
+    """Test forecasts of held-out nodes and zones by models that never saw them.
+
+    One pass sums the samples per split and held-out labels, one their sums per node; the
+    matrix of a fold is the total minus the held-out part, for every kind and regime.
+    ``history`` reads lagged prices, calendar and level, ``metadata`` also the catalogue and an
+    effect per zone, ``node_id`` also one per node. What a fold holds out has no effect there, as
+    has the zone UNKNOWN anywhere. Folds without test or train samples are skipped.
+    """
+    folds: list[tuple[str, str]] = []
+    for regime in regimes:
+        if regime not in ("node", "zone"):
+            raise ValueError("regime must be 'node' or 'zone'")
+        found = (splits.node_folds if regime == "node" else splits.zone_folds)(ds.index, max_folds)
+        # at most max_folds labels
+        folds += [(regime, r["held_out"]) for r in found.select("held_out", "fold").orderBy("fold").collect()]
+    parts = _ridge_folds(ds, folds, kinds) if kinds and folds else []
+    inside = _in_folds(ds.positions("test"), folds, range(len(folds)))
+    for name, column in (("naive168", "week_block"), ("naive24", "last_block")):
+        parts.append(_fold_rows(inside, folds, F.lit(name), F.col(column)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _in_folds(rows: DataFrame, folds: list[tuple[str, str]], usable) -> DataFrame:
+    """Each sample once per fold that holds it out, with the fold's number."""
+    numbers = [F.when(F.col(folds[i][0]) == folds[i][1], F.lit(i)) for i in usable]
+    found = F.array(*numbers) if numbers else F.array().cast("array<int>")
+    return rows.withColumn("fold", F.explode(F.array_compact(found)))
+
+
+def _fold_rows(rows: DataFrame, folds: list[tuple[str, str]], name: Column, forecast: Column) -> DataFrame:
+    def fact(part: int) -> Column:
+        labels = F.array(*[F.lit(f[part]) for f in folds]) if folds else F.array().cast("array<string>")
+        return F.get(labels, F.col("fold"))
+
+    return rows.select(
+        *FORECAST_FACTS,
+        fact(0).alias("regime"),
+        fact(1).alias("held_out"),
+        name.alias("model_name"),
         F.col("y_price").alias("y_true"),
-        "y_pred",
+        forecast.alias("y_pred"),
         F.col("week_block").alias("y_ref"),
     )
 
 
+def _ridge_folds(ds: Dataset, folds: list[tuple[str, str]], kinds: tuple[str, ...]) -> list[DataFrame]:
+    model = RidgeLags(ds.spec, ds.settings, metadata=True)
+    p, q = model.n_inputs(ds.samples), ds.spec.steps_per_block
+    own = p - model.n_meta(ds.samples)
+    held = {}
+    for regime in dict(folds):
+        labels = [label for r, label in folds if r == regime]
+        held[regime] = F.when(F.col(regime).isin(labels), F.col(regime)).otherwise(F.lit(REST))
+    strata = ["split", *[f"held_{r}" for r in held]]
+    rows = model.design(ds.samples).withColumns({f"held_{r}": c for r, c in held.items()})
+    rows = stage(rows.select(*FORECAST_FACTS, *strata[1:], "x", "t", "mu", "sigma", "y_price", "week_block"), "design")
+    fit = rows.where(F.col("split").isin("train", "val"))
+    grams = collect_grams(gram_table(fit, strata, p, q), strata)
+
+    def total(fold: int, *periods: str):
+        regime, label = folds[fold]
+        place = strata.index(f"held_{regime}")
+        kept = [g for key, g in grams.items() if key[0] in periods and key[place] != label]
+        return sum(kept) if kept else None
+
+    usable = [i for i in range(len(folds)) if total(i, "train") is not None]
+    if not usable:
+        return []
+    # the fits on train choose the penalty, those on both periods forecast
+    periods = (("train",), ("train", "val"))
+    fits = [(i, period, alpha) for period in periods for i in usable for alpha in RIDGE_ALPHAS]
+    matrices = [total(i, *period) for i, period, _ in fits]
+    models = [(kind, number) for number in range(len(fits)) for kind in kinds]
+    weights, maps = _with_effects(fit, folds, fits, matrices, models, own, p, q)
+    rows = rows.join(maps[0], "zone", "left").join(maps[1], ["zone", "node"], "left")
+    effect_maps = (F.col("zone_effects"), F.col("node_effects"))
+
+    tried = len(models) // len(periods)
+    z_hats = effects.add_effects(F.col("z_hats"), *effect_maps)
+    scored = (
+        predict_linear(rows.where(F.col("split") == "val"), weights[:tried])
+        .withColumn("z_hats", z_hats)
+        .select("node", "zone", price_errors("z_hats").alias("errors"))
+    )
+    seen = [F.col(folds[i][0]) != folds[i][1] for i, _, _ in fits]
+    means = [F.avg(F.when(seen[fit_no], F.get("errors", F.lit(m)))) for m, (_, fit_no) in enumerate(models[:tried])]
+    errors = scored.agg(*means).first()
+    chosen: dict[int, list[int]] = {}
+    for i in usable:
+        for kind in kinds:
+            candidates = [m for m in range(tried) if models[m][0] == kind and fits[models[m][1]][0] == i]
+            best_one = candidates[len(candidates) // 2]
+            if total(i, "val") is not None:
+                best_one = min(candidates, key=lambda m: float("inf") if errors[m] is None else errors[m])
+            # the same fold and penalty on both periods
+            chosen.setdefault(i, []).append(best_one + tried)
+
+    inside = _in_folds(rows.where(F.col("split") == "test"), folds, usable)
+    numbers = F.array(
+        *[F.array(*[F.lit(m) for m in chosen.get(i, [])]).cast("array<int>") for i in range(len(folds))]
+    )
+    told = predict_chosen(inside, "fold", {i: [weights[m] for m in chosen[i]] for i in usable})
+    pairs = F.arrays_zip(
+        F.array(*map(F.lit, kinds)).alias("kind"), F.get(numbers, F.col("fold")).alias("m"), F.col("z_hats").alias("z")
+    )
+    told = told.select("*", F.explode(pairs).alias("k"))
+    for effect_of in effect_maps:
+        found = F.try_element_at(effect_of, F.col("k.m"))
+        moved = F.when(found.isNull(), F.col("k.z")).otherwise(F.zip_with("k.z", found, lambda a, b: a + b))
+        told = told.withColumn("k", F.struct(F.col("k.kind"), F.col("k.m"), moved.alias("z")))
+    return [_fold_rows(told, folds, F.col("k.kind"), price_of(F.col("k.z")))]
+
+
+def _with_effects(
+    fit: DataFrame,
+    folds: list[tuple[str, str]],
+    fits: list[tuple],
+    matrices: list,
+    models: list[tuple[str, int]],
+    own: int,
+    p: int,
+    q: int,
+) -> tuple[list[tuple], tuple[DataFrame, DataFrame]]:
+    """Weights of every model, and the tables of zone and node effects by model number."""
+    sums = effects.effect_sums(fit, ["split", "zone", "node"], p, q)
+    members = [
+        F.when(
+            F.col("split").isin(list(period)) & (F.col(folds[i][0]) != folds[i][1]),
+            F.struct(F.lit(number).alias("fit"), F.lit(float(alpha)).alias("alpha")),
+        )
+        for number, (i, period, alpha) in enumerate(fits)
+    ]
+    size = 1 + p + q
+    per_fit = stage(sums, "sums").select(
+        "zone", "node", "v", F.explode(F.array_compact(F.array(*members))).alias("f")
+    )
+    per_fit = effects.total_sums(per_fit.select("f.*", F.col("zone").alias("grp"), F.col("node").alias("entity"), "v"), size)
+    zones, nodes, behind = effects.levels(stage(per_fit, "fits"), size, F.col("grp") != UNKNOWN)
+    as_kind = lambda df, kind: df.select(F.lit(kind).alias("kind"), "fit", "alpha", "v")
+    terms = as_kind(zones, "metadata").unionByName(as_kind(nodes, "node_id")).unionByName(as_kind(behind, "node_id"))
+    taken = collect_grams(effects.eliminated(terms, size), ["kind", "fit"])
+    few = [*range(1 + own), *range(1 + p, size)]
+    weights = []
+    for kind, number in models:
+        gram, alpha = matrices[number], fits[number][2]
+        if kind == "history":
+            coef, intercept = solve_ridge(gram[np.ix_(few, few)], own, alpha)
+            coef = np.vstack([coef, np.zeros((p - own, q))])
+        else:
+            coef, intercept = effects.solve_reduced(gram, taken.get((kind, number), 0.0), p, alpha)
+        weights.append((coef, intercept))
+
+    def of(kind: str) -> dict[int, tuple]:
+        return {number: weights[m] for m, (k, number) in enumerate(models) if k == kind}
+
+    def numbered(rows: DataFrame, kind: str) -> DataFrame:
+        place = {number: m for m, (k, number) in enumerate(models) if k == kind}
+        return rows.withColumn("model", F.get(F.array(*[F.lit(place.get(n)).cast("int") for n in range(len(fits))]), F.col("fit")))
+
+    by_zone = effects.effects(zones, of("metadata"), q) if of("metadata") else zones.where("false").withColumn("effect", F.col("v"))
+    outer = effects.effects(behind, of("node_id"), q) if of("node_id") else behind.where("false").withColumn("effect", F.col("v"))
+    inner = nodes.join(outer.select("fit", "grp", F.col("effect").alias("outer")), ["fit", "grp"], "left")
+    inner = inner.withColumn("outer", F.coalesce("outer", F.array_repeat(F.lit(0.0), q)))
+    by_node = effects.effects(inner, of("node_id"), q) if of("node_id") else inner.where("false").withColumn("effect", F.col("v"))
+    zone_rows = numbered(by_zone, "metadata").select("grp", "model", "effect").unionByName(
+        numbered(outer, "node_id").select("grp", "model", "effect")
+    )
+    node_rows = numbered(by_node, "node_id")
+    zone_map = effects.by_label(zone_rows, ["grp"], "zone_effects").withColumnRenamed("grp", "zone")
+    node_map = effects.by_label(node_rows, ["grp", "entity"], "node_effects")
+    node_map = node_map.withColumnsRenamed({"grp": "zone", "entity": "node"})
+    return weights, (stage(zone_map, "zone-effects"), stage(node_map, "node-effects"))
+
+
 def ablation_table(folds: DataFrame) -> DataFrame:
     """Average the folds per regime and model."""
     means = ("mae", "skill", "top4_overlap", "mae_nospike")

@@ -148,7 +148,7 @@ def test_fold_matrices_equal_a_direct_fit(ds):
 def test_holdout_ablation_and_verdict(spark, ds):
     folds = selection.holdout(ds, "zone")
     rows = folds.collect()
-    assert {r["model"] for r in rows} == {"history", "metadata", "naive24", "naive168"}
+    assert {r["model"] for r in rows} == {"history", "metadata", "node_id", "naive24", "naive168"}
     assert {r["held_out"] for r in rows} == {"NORTHSHORE", "BAYSIDE"}
     assert all(r["skill"] == pytest.approx(0.0) for r in rows if r["model"] == "naive168")
     verdict = selection.verdict(selection.ablation_table(folds)).first()

@@ -167,7 +167,7 @@ SEASONAL = f"""WITH {labelled('weekly')},
         JOIN keyed k ON k.node = t.node
             AND least(abs(k.doy - t.doy), 365 - abs(k.doy - t.doy)) <= 15 GROUP BY 1, 2)
     SELECT t.node, t.target_date, h.hora,
-        round(coalesce(l.level, o.level) * coalesce(s.ratio, 1.0), 6) AS pred
+        CAST(round(CAST(coalesce(l.level, o.level) * coalesce(s.ratio, 1.0) AS DECIMAL(28, 8)), 6) AS DOUBLE) AS pred
     FROM targets t CROSS JOIN (SELECT unnest(range(1, 8)) AS hora) h
     JOIN overall o ON o.node = t.node
     LEFT JOIN levels l ON l.node = t.node AND l.target_date = t.target_date
@@ -252,6 +252,10 @@ ORACLES: dict[str, str] = {
             list_transform(y, lambda p: (p - mu) / sigma))) AS v FROM labelled)
         SELECT split, i, j, round(sum(v[i + 1] * v[j + 1]), 6) AS total
         FROM v, (SELECT unnest(range(15)) AS i), (SELECT unnest(range(15)) AS j) WHERE j >= i GROUP BY ALL""",
+    "effect_sums": f"""WITH {labelled('weekly')},
+        v AS (SELECT node, list_concat([1.0::DOUBLE], list_concat(list_transform(prices, lambda p: (p - mu) / sigma),
+            list_transform(y, lambda p: (p - mu) / sigma))) AS v FROM labelled WHERE split = 'train')
+        SELECT node, i, round(sum(v[i + 1]), 6) AS total FROM v, (SELECT unnest(range(15)) AS i) GROUP BY ALL""",
     # the solution of the normal equations is the only one, so a residual of nothing is the check
     "ridge_normal_residual": f"""WITH {labelled('monthly')}
         SELECT target, count(*) AS n, 0.0::DOUBLE AS residual

@@ -14,6 +14,7 @@ from loomgrid.functions import calendar, clock, encoding, scaling
 from loomgrid.operators import (
     cleaning,
     coverage,
+    effects,
     evaluate,
     grid,
     planning,
@@ -717,7 +718,9 @@ def seasonal_ma(spark, sf):
     rows = weekly_samples(spark, sf)
     model = SeasonalMA(WEEKLY).fit(rows, weekly_silver(spark, sf))
     predicted = model.predict(rows.where("split = 'test'"))
-    return long_steps(predicted, ["node", "target_date"], pred="y_pred")
+    hours = long_steps(predicted, ["node", "target_date"], pred="y_pred")
+    # halves as eight decimals show them: products of two means agree so far whatever the order of sums
+    return hours.withColumn("pred", F.round(F.col("pred").cast("decimal(28, 8)"), 6).cast("double"))
 
 
 @query
@@ -729,13 +732,13 @@ def ridge_lags(spark, sf):
     return long_steps(predicted, ["sample_id", "node", "target_date"], pred="y_pred")
 
 
-def block_design(rows: DataFrame) -> DataFrame:
+def block_design(rows: DataFrame, *keys: str) -> DataFrame:
     """The last block and the target block of samples, standardised, as inputs and targets."""
 
     def z(prices: str):
         return F.transform(prices, lambda p: (p - F.col("mu")) / F.col("sigma"))
 
-    return rows.select("split", z("last_block").alias("x"), z("y_price").alias("t"))
+    return rows.select(*keys or ("split",), z("last_block").alias("x"), z("y_price").alias("t"))
 
 
 @query
@@ -944,6 +947,23 @@ def holdout_zones(spark, sf):
     return selection.holdout(monthly_dataset(spark, sf), "zone")
 
 
+@query
+def holdout_nodes(spark, sf):
+    """Errors on held-out nodes and on held-out zones, of all kinds, from stored forecasts."""
+    forecasts = stage(selection.holdout_forecasts(monthly_dataset(spark, sf)), "forecasts")
+    return selection.fold_errors(forecasts, MONTHLY_SETTINGS.top_k)
+
+
+@query
+def effect_sums(spark, sf):
+    """Sums of the inputs and targets of the training samples of every node, by cell."""
+    n = WEEKLY.steps_per_block
+    rows = weekly_samples(spark, sf).where("split = 'train'")
+    labelled = block_design(rows, "node")
+    sums = effects.effect_sums(labelled, ["node"], n, n)
+    return sums.select("node", F.posexplode("v").alias("i", "total"))
+
+
 @query
 def holdout_naive(spark, sf):
     """Zone hold-out metrics of the two naive forecasts, per fold."""
@@ -962,7 +982,8 @@ def ablation(spark, sf):
 @query
 def metadata_verdict(spark, sf):
     ds = monthly_dataset(spark, sf)
-    return selection.verdict(selection.ablation_table(selection.holdout(ds, "zone")))
+    forecasts = selection.holdout_forecasts(ds, kinds=("history", "metadata"))
+    return selection.verdict(selection.ablation_table(selection.fold_errors(forecasts, MONTHLY_SETTINGS.top_k)))
 
 
 @query
