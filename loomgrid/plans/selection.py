@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.config import RIDGE_ALPHAS, UNKNOWN
+from loomgrid.functions import clock
 from loomgrid.operators import effects, evaluate, splits
 from loomgrid.operators.forecasters import (
     RidgeLags,
@@ -23,8 +24,9 @@ from loomgrid.operators.forecasters import (
     solve_ridge,
     validation_errors,
 )
+from loomgrid.operators.samples import build_samples
 from loomgrid.plans.baselines import forecast_rows
-from loomgrid.plans.dataset import Dataset, build_dataset
+from loomgrid.plans.dataset import Dataset, build_dataset, operation_dates
 from loomgrid.session import stage
 
 WINDOW_BLOCKS = (3, 7, 14)
@@ -417,37 +419,107 @@ def training_window(
 ) -> DataFrame:
     """Compare how far back the training data reaches, with the same end.
 
-    Starts before the first origin of the dataset are skipped. Input length and
-    split settings are those of the dataset.
+    Starts before the first origin of the dataset are skipped, as are those behind its last
+    target. Input length and split settings are those of the dataset; ``holidays`` and
+    ``catalog`` have to be its own. No start builds a dataset: samples whose windows lie
+    behind a start are those of the dataset, summed once per stretch between two starts, so that a
+    start takes the stretches behind it. Only the few blocks whose windows a start cuts are built.
     """
-    bounds = ds.samples.agg(F.min("origin_date"), F.max("target_date")).first()
-    out = None
-    for start in starts:
-        if start < bounds[0]:
-            continue
-        variant = build_dataset(
-            silver,
-            catalog,
-            f"from{start:%Y%m%d}",
-            ds.spec,
-            ds.settings,
-            start=start,
-            end=bounds[1] + datetime.timedelta(days=ds.spec.block_days - 1),
-            holidays=holidays,
-            sequences=False,
-        )
-        facts = variant.samples.agg(
-            F.max("target_date").alias("last"), F.count_if(F.col("split") == "train").alias("n")
-        ).first()
-        row = _study_row(
-            variant,
-            [
-                F.lit(start.isoformat()).alias("start"),
-                F.lit(round((facts["last"] - start).days / 365.25, 1)).alias("train_years"),
-                F.lit(facts["n"]).alias("n_train"),
-            ],
+    first, last = ds.samples.agg(F.min("origin_date"), F.max("target_date")).first()
+    kept = [s for s in sorted(set(starts)) if first is not None and first <= s <= last]
+    if not kept:
+        raise ValueError("every start lies outside the data")
+    rows = _from_starts(silver, ds, catalog, holidays, kept)
+    model = RidgeLags(ds.spec, ds.settings)
+    p, q = model.n_inputs(ds.samples), ds.spec.steps_per_block
+    fit = rows.where(F.col("split").isin("train", "val"))
+    grams = collect_grams(gram_table(fit, ["split", "stretch"], p, q), ["split", "stretch"])
+    facts = {(r["split"], r["stretch"]): r["n"] for r in rows.groupBy("split", "stretch").agg(F.count("*").alias("n")).collect()}
+    behind = [[f"from-{i:04d}" for i in range(k, len(kept))] + [f"head-{k:04d}"] for k in range(len(kept))]
+
+    def total(k: int, *periods: str):
+        found = [g for (split, stretch), g in grams.items() if split in periods and stretch in behind[k]]
+        return sum(found) if found else None
+
+    tried = [(k, alpha) for k in range(len(kept)) for alpha in RIDGE_ALPHAS]
+    for k, start in enumerate(kept):
+        if total(k, "train") is None:
+            raise ValueError(f"no training samples from {start} on")
+    models = [solve_ridge(total(k, *period), p, a) for period in (("train",), ("train", "val")) for k, a in tried]
+    scored = predict_linear(rows.where(F.col("split") == "val"), models).select(
+        "stretch", price_errors("z_hats").alias("errors")
+    )
+    inside = [F.col("stretch").isin(names) for names in behind]
+    means = [
+        F.avg(F.when(inside[tried[m % len(tried)][0]], F.get("errors", F.lit(m)))) for m in range(len(models))
+    ]
+    errors = [float("inf") if e is None else e for e in scored.agg(*means).first()]
+    chosen = []
+    for k in range(len(kept)):
+        own = [m for m, (j, _) in enumerate(tried) if j == k]
+        best_one = min(own, key=lambda m: errors[m]) if total(k, "val") is not None else own[len(own) // 2]
+        chosen.append(best_one + len(tried))
+    member = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(inside)]))
+    test = rows.where(F.col("split") == "test").withColumn("variant", F.explode(member))
+    told = predict_chosen(test, "variant", {k: [models[m]] for k, m in enumerate(chosen)})
+    told = told.withColumn("y_pred", price_of(F.col("z_hats")[0]))
+    forecasts = told.select(
+        F.col("variant").cast("string").alias("model_name"),
+        "is_spike_day",
+        F.col("y_price").alias("y_true"),
+        "y_pred",
+        F.col("week_block").alias("y_ref"),
+    )
+    errors_of = evaluate.metrics_by(evaluate.score(forecasts, ds.settings.top_k, "y_ref"), ["model_name"])
+
+    def count(k: int, split: str | None = None) -> int:
+        return sum(n for (s, stretch), n in facts.items() if stretch in behind[k] and split in (None, s))
+
+    lead = [
+        (str(k), start.isoformat(), round((last - start).days / 365.25, 1), count(k, "train"), errors[chosen[k]] / q)
+        for k, start in enumerate(kept)
+    ]
+    # one row per start
+    known = rows.sparkSession.createDataFrame(
+        lead, "model_name string, start string, train_years double, n_train int, val_mae double"
+    )
+    return (
+        known.join(errors_of, "model_name", "left")
+        .select(
+            "start",
+            "train_years",
+            "n_train",
+            "val_mae",
+            F.col("mae").alias("test_mae"),
+            F.col("skill").alias("test_skill"),
+            F.col("top4_overlap").alias("test_top4"),
         )
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        raise ValueError("every start lies before the data")
-    return out.orderBy("val_mae")
+        .orderBy("val_mae")
+    )
+
+
+def _from_starts(silver: DataFrame, ds: Dataset, catalog, holidays, starts: list) -> DataFrame:
+    """Design rows by ``stretch``: ``from-k`` lies behind the windows that start k cuts and before those of
+    the next one, ``head-k`` holds the samples of the blocks in whose windows start k cuts."""
+    spec, settings = ds.spec, ds.settings
+    reach = max(settings.stats_blocks, settings.input_blocks, settings.week_lag)
+    # the first block behind a start whose windows hold none of the blocks that the start cuts
+    whole = [clock.block_of_date(F.lit(s), spec) + reach for s in starts]
+    stretch = F.lit(None).cast("string")
+    for k, block in enumerate(whole):
+        stretch = F.when(F.col("block") >= block, f"from-{k:04d}").otherwise(stretch)
+    design = RidgeLags(spec, settings).design
+    facts = ["is_spike_day", "target_date", "mu", "sigma", "y_price", "week_block"]
+    end = ds.samples.agg(F.max("target_date").alias("d")).scalar()
+    rows = design(ds.samples).withColumn("stretch", stretch).where(F.col("stretch").isNotNull())
+    rows = rows.select(*facts, "x", "t", "stretch")
+    nodes = ds.samples.select(*spec.keys).distinct()
+    for k, start in enumerate(starts):
+        near = operation_dates(silver, start).join(nodes, list(spec.keys), "left_semi")
+        # as far as the target of the last such block, and no further than the dataset
+        near = near.where(clock.block_of_date(F.col("fecha"), spec) <= whole[k])
+        near = near.where(F.col("fecha") < F.date_add(end, spec.block_days))
+        head = build_samples(near, spec, settings, catalog, holidays, only=F.col("block") < whole[k], sequences=False)
+        head = design(head).withColumn("stretch", F.lit(f"head-{k:04d}"))
+        rows = rows.unionByName(head.select(*facts, "x", "t", "stretch"))
+    return stage(splits.assign_splits(rows, settings, ds.index), "starts")

@@ -1028,7 +1028,7 @@ def training_window(spark, sf):
     ds = monthly_dataset(spark, sf)
     starts = (datetime.date(1996, 1, 1), datetime.date(1998, 1, 5))
     return selection.training_window(
-        monthly_silver(spark, sf), ds, series.nation_catalog(spark, sf), starts=starts
+        monthly_silver(spark, sf), ds, series.nation_catalog(spark, sf), series.order_holidays(spark, sf), starts
     )
 
 
