@@ -1,5 +1,10 @@
 """The three trained operators: held-out accuracy, gradients and unusual rows."""
 
+import collections
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 
@@ -32,6 +37,63 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert (predicted == y).mean() > 0.93 and predicted[y == 0].mean() < 0.03
 
 
+def words_and_pairs(text):
+    """Features by their words instead of hashes: words, and pairs with none, one or two words between."""
+    words = re.findall(r"[a-z]+", text or "")
+    pairs = [(step, *pair) for step in (1, 2, 3) for pair in zip(words, words[step:])]
+    return {(w,) for w in words} | set(pairs) | {"bias"}
+
+
+def ftrl_by_dictionaries(rows):
+    """Weight of a feature after learning ``rows (features, label)``, one coordinate at a time."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f):
+        if abs(z[f]) <= toxicity.L1:
+            return 0.0
+        rate = (toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2
+        return (toxicity.L1 - z[f] if z[f] > 0 else -toxicity.L1 - z[f]) / rate
+
+    counts = collections.Counter(y for _, y in rows)
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for i in order.permutation(len(rows)):
+            features, y = rows[i]
+            odds = {f: weight(f) for f in features}
+            p = 1 / (1 + math.exp(-sum(odds.values())))
+            g = min(max(counts.values()) / counts[y], toxicity.MOST_WEIGHT) * (p - y)
+            for f, w in odds.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA * w
+                n[f] += g * g
+    return weight
+
+
+def test_toxicity_equals_ftrl_on_dictionaries(spark):
+    draw = np.random.default_rng(3)
+    plain, bad = "river stone cloud garden window letter winter".split(), "rotten vile hateful".split()
+    rows = []
+    for i in range(120):
+        words = list(draw.choice(plain, 12))
+        if i % 4 == 0:
+            # a word alone, and two that tell something only with others between them
+            words[3], words[6] = bad[i % 3], "vile"
+            words[8:11] = ["stone", "cloud", "hateful"]
+        rows.append((i, " ".join(words) if i != 7 else None, int(i % 4 == 0)))
+    # a repeated label, a null one and one without a document
+    told = [(i, y) for i, _, y in rows] + [(0, 0), (5, None), (999, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    found = toxicity.with_toxicity(docs, spark.createDataFrame(told, "doc_id long, toxic int")).toPandas()
+    learned = [(words_and_pairs(t), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    weight = ftrl_by_dictionaries(learned)
+    wanted = {i: 1 / (1 + math.exp(-sum(map(weight, words_and_pairs(t))))) for i, t, _ in rows}
+    assert dict(zip(found["doc_id"], found["score"])) == pytest.approx(wanted, rel=1e-5)
+    assert {i for i in wanted if zlib.crc32(str(i).encode()) % 5 == 0} == set(found["doc_id"][found["held_out"]])
+    # pairs and words have learned, and most of the others have no weight
+    features = set().union(*(f for f, _ in learned))
+    used = [f for f in features if weight(f)]
+    assert {len(f) for f in used if f != "bias"} == {1, 3} and len(used) < len(features) / 2
+
+
 def test_quality_on_held_out_rows(spark, docs):
     predicted, y = scored(quality.with_quality(docs, labels(spark, SF)), "quality", spark)
     assert (predicted == y).mean() > 0.95 and predicted[y == 1].mean() > 0.98
