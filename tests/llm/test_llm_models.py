@@ -119,6 +119,43 @@ def test_no_labels_and_no_rows(spark, docs, with_model):
     assert language.with_language(docs.limit(0)).count() == 0
 
 
+def read_byte_by_byte(reader, symbols):
+    """States of a gated recurrent unit, one byte and one unit at a time."""
+    u, h, states = reader.units, [0.0] * reader.units, []
+    byte, state, bias = (w.astype(float).tolist() for w in reader.weights)
+    logistic = lambda v: 1 / (1 + math.exp(-v))
+    for s in symbols:
+        inner = [sum(h[j] * state[j][k] for j in range(u)) for k in range(3 * u)]
+        after = []
+        for k in range(u):
+            z, r = logistic(byte[s][k] + inner[k]), logistic(byte[s][u + k] + inner[u + k])
+            candidate = math.tanh(byte[s][2 * u + k] + r * (inner[2 * u + k] + bias[k]))
+            after.append(z * h[k] + (1 - z) * candidate)
+        h = after
+        states.append(h)
+    return states
+
+
+def test_pooled_labels_equal_a_loop_over_bytes():
+    """Every byte of every window is labelled, and a text's probabilities are their mean."""
+    model = language.Tagger(["a", "b", "c"])
+    texts = [b"", b"x", "Stra\u00dfe und Wege".encode(), b"a text of more than one window, " * (language.WINDOW // 20)]
+    out, base = model.out.astype(float), model.base.astype(float)
+    wanted = []
+    for text in texts:
+        told = []
+        symbols, filled = language.windows([text])
+        assert sum(filled) == len(text)
+        for column, count in zip(symbols.T.tolist(), filled):
+            ahead = read_byte_by_byte(model.ahead, column)
+            behind = read_byte_by_byte(model.behind, column[::-1])[::-1]
+            for t in range(count):
+                odds = np.exp(np.array(ahead[t] + behind[t]) @ out + base)
+                told.append(odds / odds.sum())
+        wanted.append(np.mean(told, axis=0) if told else np.zeros(3))
+    np.testing.assert_allclose(model.pooled(texts), wanted, atol=2e-5)
+
+
 def test_network_gradients_match_differences():
     model = language.Tagger(["a", "b", "c"])
     symbols, filled = language.windows([b"some text to read", b"noch ein Text" * 8, b"x"])
