@@ -99,6 +99,48 @@ def test_quality_on_held_out_rows(spark, docs):
     assert (predicted == y).mean() > 0.95 and predicted[y == 1].mean() > 0.98
 
 
+def test_quality_steps_down_the_non_negative_risk(monkeypatch):
+    """Slopes of every step are differences of the risk, worked out row by row; below nothing the other way."""
+    draw, prior, signs = np.random.default_rng(8), 0.6, []
+    pos = np.column_stack([draw.normal(1.5, 1, (40, 3)), np.ones(40)])
+    web = np.column_stack([draw.normal(0, 1.5, (120, 3)), np.zeros(120)])
+    step = quality.Net.step
+
+    def parts(z, n):
+        plus = prior * sum(math.log(1 + math.exp(-v)) for v in z[:n]) / n
+        minus = sum(math.log(1 + math.exp(v)) for v in z[n:]) / (len(z) - n)
+        return plus, minus - prior * sum(math.log(1 + math.exp(v)) for v in z[:n]) / n
+
+    def watched(net, x, slope):
+        z, n = net.logit(x).tolist(), int(x[:, 3].sum())
+        signs.append(parts(z, n)[1] >= 0)
+        if len(signs) % 50 == 1 or not signs[-1]:
+            for i in (0, n - 1, n, len(z) - 1):
+                more, less = list(z), list(z)
+                more[i], less[i] = z[i] + 1e-5, z[i] - 1e-5
+                up, down = parts(more, n), parts(less, n)
+                risk = sum(up) - sum(down) if signs[-1] else down[1] - up[1]
+                assert slope[i] == pytest.approx(risk / 2e-5, abs=1e-7)
+        step(net, x, slope)
+
+    monkeypatch.setattr(quality.Net, "step", watched)
+    quality.non_negative(pos, web, prior)
+    assert {True, False} == set(signs)
+
+
+def test_class_prior_equals_the_least_bound_over_thresholds():
+    draw = np.random.default_rng(9)
+    pos = draw.normal(2, 1, 400).round(2)
+    web = np.concatenate([draw.normal(2, 1, 300), draw.normal(-3, 1, 700)]).round(2)
+    doubt = math.sqrt(math.log(40) / 2) * (400**-0.5 + 1000**-0.5)
+    bounds = []
+    for cut in sorted(set(pos.tolist())):
+        p, u = sum(v >= cut for v in pos) / 400, sum(v >= cut for v in web) / 1000
+        bounds.append(((u + doubt) / p, u / p))
+    assert quality.class_prior(pos, web) == pytest.approx(min(bounds)[1])
+    assert quality.class_prior(pos, web) == pytest.approx(0.3, abs=0.05)
+
+
 def test_language_on_held_out_rows(spark, docs):
     rows = language.with_language(docs).toPandas()
     held = rows[rows["held_out"] & rows["lang"].notna()]
