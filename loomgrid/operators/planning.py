@@ -23,6 +23,11 @@ def last_published(market: Column, today: Column) -> Column:
     return F.when(market == "MTR", F.date_sub(today, MTR_LAG_DAYS)).otherwise(F.date_add(today, 1))
 
 
+def last_published_day(market: str, today: datetime.date) -> datetime.date:
+    """The same for one market and day."""
+    return today + datetime.timedelta(days=-MTR_LAG_DAYS if market == "MTR" else 1)
+
+
 def window_number(day: Column, epoch: datetime.date) -> Column:
     """Index of the request window of a day, anchored at the market epoch."""
     days = F.datediff(day, F.lit(epoch))
@@ -76,14 +81,19 @@ def plan_requests(
     have: DataFrame | None = None,
     epoch: datetime.date | None = None,
     batch: int = MAX_NODES_PER_REQUEST,
+    today: datetime.date | None = None,
 ) -> DataFrame:
     """Requests for every window and node not fully covered by ``have``.
 
+    Given ``today``, nothing behind the last day that the market has published is asked for.
+
     ``have`` holds ``(node, fecha)`` pairs. Covered days are counted per node and
     window instead of spreading every node over every day. Nodes are batched in
     key order inside a window.
     """
     epoch = epoch or EPOCHS[market]
+    if today is not None:
+        end = min(end, last_published_day(market, today))
     wanted = _windows(nodes.select("node").distinct(), epoch, start, end)
     if have is not None:
         days = have.select("node", "fecha").where(

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from conftest import HOURLY, hourly_rows, price_days
 from pyspark.sql import functions as F
 
@@ -86,3 +87,19 @@ def test_stage_nodes_follow_the_quotas(spark):
     assert catalog.stage_nodes(table, 1).count() == 15
     assert {r[0] for r in catalog.stage_nodes(table, 1).select("region").distinct().collect()} == {"PENINSULAR"}
     assert catalog.stage_nodes(table, 2).count() == 17
+
+
+@pytest.mark.parametrize("market", ["MDA", "MTR"])
+def test_plans_end_with_the_last_published_day(spark, market):
+    today, start = datetime.date(2024, 3, 15), datetime.date(2024, 3, 1)
+    nodes = spark.createDataFrame([("A",), ("B",)], "node string")
+    last = spark.range(1).select(planning.last_published(F.lit(market), F.lit(today))).first()[0]
+    assert last == planning.last_published_day(market, today)
+    planned = planning.plan_requests(nodes, "SIN", market, start, datetime.date(2024, 4, 30), today=today)
+    assert planned.agg(F.max("end")).first()[0] == last
+    # a range that is not published yet asks for nothing
+    late = planning.plan_requests(nodes, "SIN", market, last + datetime.timedelta(days=1), datetime.date(2024, 4, 30), today=today)
+    assert late.count() == 0
+    # the end that was asked for stays where it is published
+    early = planning.plan_requests(nodes, "SIN", market, start, datetime.date(2024, 3, 5), today=today)
+    assert early.agg(F.max("end")).first()[0] == datetime.date(2024, 3, 5)
