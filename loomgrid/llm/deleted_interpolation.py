@@ -38,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrid.session import stage
+from loomgrid.session import bound_batches, stage
 
 FOLDS = 10
 CHUNK_CHARS = 6_000_000
+#: tokens that are scored at once
+PIECE_TOKENS = 1 << 17
 #: entries of a range of keys, at so many entries in all
 RANGE_KEYS = 1_000_000
 LEAST_RANGES = 8
@@ -60,7 +62,7 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 
 def pack(values: np.ndarray) -> bytes:
     """Numbers as compressed planes of their bytes, the high ones of which are mostly empty."""
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    planes = values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
@@ -155,26 +157,59 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emitted()
 
 
+ORDERS = (1, 2)
+
+
 class Chunk:
-    """The tokens of a chunk and, per order, its distinct keys in order and every token's place among them."""
+    """The tokens of a chunk. What an order needs is made when it is asked for, and not kept."""
 
     def __init__(self, row):
         self.sizes = np.asarray(row["sizes"], np.int64)
         self.parts = np.asarray(row["parts"], np.int8)
         self.part = np.repeat(self.parts, self.sizes)
-        hashes = np.frombuffer(row["hashes"], "<u8")
-        numbers = unpack(row["numbers"]).astype(np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        order = np.argsort(hashes)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        tokens = hashes[numbers]
-        before = np.roll(tokens, 1)
+        self.hashes = np.frombuffer(row["hashes"], "<u8")
+        self.numbers = unpack(row["numbers"]).astype(np.uint32)
+
+    def order(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and every token's place among them."""
+        if kind == 2:
+            return distinct(self.pairs())
+        keys, place = distinct(self.hashes)
+        return keys, place[self.numbers]
+
+    def pairs(self) -> np.ndarray:
+        """Hashes of every token with the one before."""
+        pairs = self.hashes[self.numbers]
+        before = np.roll(pairs, 1)
         before[self.first] = BEFORE
-        pairs = (before ^ (before >> np.uint64(32))) * MIX + tokens * STEP
-        pairs = (pairs ^ (pairs >> np.uint64(29))) * MIX
+        pairs *= STEP
+        before ^= before >> np.uint64(32)
+        before *= MIX
+        pairs += before
+        del before
+        pairs ^= pairs >> np.uint64(29)
+        pairs *= MIX
         pairs ^= pairs >> np.uint64(32)
-        self.orders = {1: (hashes[order], place[numbers]), 2: np.unique(pairs, return_inverse=True)}
+        return pairs
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the place of each value among them, with less memory than ``np.unique``."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], place
+
+
+def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches as dictionaries, one of them in memory at a time."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
 
 
 def range_bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -191,24 +226,24 @@ def asked(chunks: DataFrame, ranges: int) -> DataFrame:
     """What chunks ask and tell: keys of a range, and how often their learned and deleted texts have them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row)
-                for kind, (keys, place) in chunk.orders.items():
-                    learned = np.bincount(place[chunk.part != HELD_OUT], minlength=len(keys))
-                    deleted = np.bincount(place[chunk.part == DELETED], minlength=len(keys))
-                    told, start = [], 0
-                    shift = np.uint64(64 - (ranges.bit_length() - 1))
-                    for last in range_bounds(keys, ranges):
-                        cut = slice(start, last + 1)
-                        start = last + 1
-                        packed = pack_sorted(keys[cut]), pack(learned[cut]), pack(deleted[cut])
-                        told.append((kind, int(keys[last] >> shift), row["chunk"], *packed))
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(told, columns=columns), schema)
+        for row in single_rows(batches):
+            chunk = Chunk(row)
+            for kind in ORDERS:
+                keys, place = chunk.order(kind)
+                learned = np.bincount(place[chunk.part != HELD_OUT], minlength=len(keys))
+                deleted = np.bincount(place[chunk.part == DELETED], minlength=len(keys))
+                del place
+                told, start = [], 0
+                shift = np.uint64(64 - (ranges.bit_length() - 1))
+                for last in range_bounds(keys, ranges):
+                    cut = slice(start, last + 1)
+                    start = last + 1
+                    packed = pack_sorted(keys[cut]), pack(learned[cut]), pack(deleted[cut])
+                    told.append((kind, int(keys[last] >> shift), row["chunk"], *packed))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*told), kinds)], columns)
 
     columns = ["kind", "span", "chunk", "keys", "learned", "deleted"]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    schema = pa.schema(list(zip(columns, kinds)))
     return chunks.mapInArrow(ask, ASKED)
 
 
@@ -287,25 +322,30 @@ def laid_out(chunks: DataFrame, answers: DataFrame, totals: dict[str, int]) -> D
     def lay(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = rows.iloc[0]
         chunk = Chunk(row)
-        counts = {}
+        packed, left = {}, {}
         answers = answers.sort_values(["kind", "span"])
-        for kind, (_, place) in chunk.orders.items():
-            own = answers[answers["kind"] == kind]
-            for name in ("learned", "deleted"):
-                counts[name, kind] = np.concatenate([unpack(x) for x in own[name]])[place].astype(np.float64)
         cut = chunk.part == DELETED
-        left = [counts["learned", k] - counts["deleted", k] for k in (1, 2)]
-        context = contexts(left[0], chunk.first, totals["learned_texts"] - totals["deleted_texts"])[cut]
-        rest = totals["learned"] - totals["deleted"]
-        by_context, alone = estimates(left[0][cut], left[1][cut], context, rest)
+        for kind in ORDERS:
+            _, place = chunk.order(kind)
+            own = answers[answers["kind"] == kind]
+            learned, deleted = (np.concatenate([unpack(x) for x in own[name]]) for name in ("learned", "deleted"))
+            packed[kind] = pack(learned[place])
+            # counts below 2 ** 53 are exact
+            rest = (learned - deleted).astype(np.float64)
+            if kind == 1:
+                texts = totals["learned_texts"] - totals["deleted_texts"]
+                context = contexts(rest[place], chunk.first, texts)[cut]
+            left[kind] = rest[place[cut]]
+            del place, learned, deleted, rest
+        by_context, alone = estimates(left[1], left[2], context, totals["learned"] - totals["deleted"])
         all_tokens = totals["known"] + 1
         return pd.DataFrame(
             {
                 "ids": [row["ids"]],
                 "parts": [row["parts"]],
                 "sizes": [row["sizes"]],
-                "c1": [pack(counts["learned", 1].astype(np.uint64))],
-                "c2": [pack(counts["learned", 2].astype(np.uint64))],
+                "c1": [packed[1]],
+                "c2": [packed[2]],
                 "cells": [cells(context_bucket(context), by_context * all_tokens, alone * all_tokens)],
             }
         )
@@ -360,6 +400,15 @@ def row_weights(weights: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return weights[np.minimum(bucket, len(weights) - 1)]
 
 
+def text_pieces(ends: np.ndarray) -> Iterator[slice]:
+    """Runs of whole texts of about ``PIECE_TOKENS`` tokens, a longer text alone, by the ends of all."""
+    start = done = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, done + PIECE_TOKENS, "right")))
+        yield slice(start, stop)
+        start, done = stop, int(ends[stop - 1])
+
+
 SCORED = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -369,19 +418,22 @@ def scored(laid: DataFrame, weights: np.ndarray, totals: dict[str, int]) -> Data
     all_tokens = totals["known"] + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.array(row["sizes"], np.int64)
+        for row in single_rows(batches):
+            counts = [unpack(row[c]) for c in ("c1", "c2")]
+            ends = np.cumsum(row["sizes"], dtype=np.int64)
+            for cut in text_pieces(ends):
+                sizes = np.array(row["sizes"][cut], np.int64)
                 first = np.cumsum(sizes) - sizes
-                c1, c2 = (unpack(row[c]).astype(np.float64) for c in ("c1", "c2"))
+                at = slice(ends[cut.start] - sizes[0], ends[cut.stop - 1])
+                c1, c2 = (x[at].astype(np.float64) for x in counts)
                 context = contexts(c1, first, totals["learned_texts"])
                 by_context, alone = estimates(c1, c2, context, totals["learned"])
                 share = row_weights(weights, context_bucket(context))
                 p = share[:, 0] * by_context + share[:, 1] * alone + share[:, 2] / all_tokens
                 base = np.log10((c1 + ADDED) / (totals["learned"] + ADDED * all_tokens))
                 arrays = [
-                    pa.array(row["ids"], pa.int64()),
-                    pa.array(np.array(row["parts"], np.int8) == HELD_OUT),
+                    pa.array(row["ids"][cut], pa.int64()),
+                    pa.array(np.array(row["parts"][cut], np.int8) == HELD_OUT),
                     pa.array(sizes),
                     pa.array(np.add.reduceat((c1 > 0).astype(np.int64), first)),
                     pa.array(np.full(len(sizes), totals["learned"], np.int64)),
@@ -411,8 +463,10 @@ def text_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ran
     Texts whose checksum of the id ``FOLDS`` divides are not learned from. ``base_score`` is that of single
     tokens with ``ADDED`` to each count; both are sums of logarithms to the base ten.
     """
+    # texts and chunks are long rows: what goes to Python at once is bounded by bytes
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    chunks = stage(texts.mapInArrow(chunked, CHUNKS), "chunks")
+    chunks = stage(texts.mapInArrow(chunked, CHUNKS), "chunks", long_rows=True)
     totals = text_totals(chunks)
     if ranges is None:
         tokens = chunks.agg(F.sum("n")).first()[0] or 0
@@ -420,7 +474,7 @@ def text_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ran
     answers = asked(chunks, ranges).groupBy("kind", "span").applyInPandas(answer, ANSWERED)
     answers = stage(answers, "answers")
     totals["known"] = answers.where("kind = 1").agg(F.sum("known")).first()[0] or 0
-    laid = stage(laid_out(chunks, answers.drop("known"), totals), "laid")
+    laid = stage(laid_out(chunks, answers.drop("known"), totals), "laid", long_rows=True)
     told = laid.select(F.explode("cells").alias("c")).groupBy("c.bucket", "c.x", "c.y")
     told = told.agg(*[F.sum(f"c.{x}").alias(x) for x in ("n", "log_x", "log_y")])
     # bounded by the buckets of a context and the cells of two ratios

@@ -114,17 +114,25 @@ def freeing_shuffles(spark: SparkSession):
         spark.conf.set(FREE_SHUFFLES, before)
 
 
-def stage(df: DataFrame, label: str = "stage", folder: str | None = None) -> DataFrame:
+#: Without them, a hundred rows are written before the size of a page and a row group is looked at, and
+#: a row group is what a reader holds at once at most.
+LONG_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
+
+
+def stage(
+    df: DataFrame, label: str = "stage", folder: str | None = None, long_rows: bool = False
+) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder, or in ``folder``, and read it back.
 
     Cuts the lineage where one result feeds several later jobs. The written
     table survives executor loss and later reads prune columns, which an RDD
     checkpoint of the wide sample rows could not. What it shuffled is freed at once, since
     nothing reads that again. It stays until ``drop_stages`` or the end of the application, since
-    later jobs may still read it; tables in a folder of the caller's stay there.
+    later jobs may still read it; tables in a folder of the caller's stay there. ``long_rows`` says that
+    a row may take megabytes, so that few of them are held at once by who writes or reads them.
     """
     spark = df.sparkSession
     path = f"{folder or stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with freeing_shuffles(spark):
-        df.write.parquet(path)
+        df.write.options(**(LONG_ROWS if long_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

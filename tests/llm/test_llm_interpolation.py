@@ -2,13 +2,16 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
+from loomgrid import session
 from loomgrid.llm import deleted_interpolation as di
 
 SCHEMA = "doc_id bigint, text string, score string, n int"
@@ -162,3 +165,41 @@ def test_packing_is_exact():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 1000, np.uint64))
     assert (di.unpack_sorted(di.pack_sorted(keys)) == keys).all()
     assert di.unpack(di.pack(np.zeros(0, np.uint64))).tolist() == []
+
+
+def test_a_chunk_takes_few_bytes_a_token():
+    """Besides its hashes and numbers, an order takes some thirty bytes a token while it is made, and keeps twelve."""
+    many = 200_000
+    draw = np.random.default_rng(8)
+    hashes = draw.integers(0, 2**64, 30_000, np.uint64)
+    numbers = draw.integers(0, len(hashes), many).astype(np.uint64)
+    row = {"sizes": [many // 2] * 2, "parts": [di.LEARNED, di.HELD_OUT], "hashes": hashes.tobytes()}
+    row["numbers"] = di.pack(numbers)
+    tracemalloc.start()
+    try:
+        chunk = di.Chunk(row)
+        kept = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        keys, place = chunk.order(2)
+        peak = tracemalloc.get_traced_memory()[1] - kept
+    finally:
+        tracemalloc.stop()
+    assert kept < 6 * many and peak < 40 * many
+    wanted, places = np.unique(chunk.pairs(), return_inverse=True)
+    assert (keys == wanted).all() and (place == places).all()
+
+
+def test_long_rows_are_written_in_small_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(session.LONG_ROWS, "parquet.block.size", "100000")
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "randstr(20000, 3) AS text")
+    session.stage(rows, folder=str(tmp_path), long_rows=True)
+    (file,) = tmp_path.glob("*/*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_rows == 40 and groups.num_row_groups > 5
+
+
+def test_pieces_of_texts_are_whole_and_bounded(monkeypatch):
+    monkeypatch.setattr(di, "PIECE_TOKENS", 10)
+    sizes = [3, 3, 3, 3, 25, 1, 1, 9, 10]
+    cuts = list(di.text_pieces(np.cumsum(sizes)))
+    assert [sizes[c] for c in cuts] == [[3, 3, 3], [3], [25], [1, 1], [9], [10]]
