@@ -68,34 +68,41 @@ class Reader:
         return [self.byte, self.state, self.bias]
 
     def read(self, symbols: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """States (steps, n, units) after every step of ``symbols (steps, n)``."""
+        """States (steps, units, n) after every step of ``symbols (steps, n)``.
+
+        Windows are the last axis everywhere, so that every operation runs over long rows of memory.
+        """
         steps, n = symbols.shape
         u = self.units
-        states = np.empty((steps, n, u), np.float32)
-        h = np.zeros((n, u), np.float32)
-        gates, inner = np.empty((n, 3 * u), np.float32), np.empty((n, 3 * u), np.float32)
+        table, turned, bias = self.byte.T.copy(), self.state.T.copy(), self.bias[:, None]
+        # the logistic function by tanh of half its input, which numpy computes with vector instructions
+        table[: 2 * u] *= 0.5
+        turned[: 2 * u] *= 0.5
+        states = np.empty((steps, u, n), np.float32)
+        h = np.zeros((u, n), np.float32)
+        gates, inner = np.empty((3 * u, n), np.float32), np.empty((3 * u, n), np.float32)
+        both, past, candidate = gates[: 2 * u], inner[2 * u :], gates[2 * u :]
+        z, r = both[:u], both[u:]
         for t in range(steps):
-            np.take(self.byte, symbols[t], axis=0, out=gates)
-            np.dot(h, self.state, out=inner)
-            both = gates[:, : 2 * u]
-            both += inner[:, : 2 * u]
-            # the logistic function by tanh, which numpy computes with vector instructions
-            both *= 0.5
+            # every byte is in the table; take() writes to where it is told without a copy only if it need not check
+            np.take(table, symbols[t], axis=1, out=gates, mode="clip")
+            np.dot(turned, h, out=inner)
+            both += inner[: 2 * u]
             np.tanh(both, out=both)
-            both += 1
             both *= 0.5
-            z, r = gates[:, :u], gates[:, u : 2 * u]
-            past = inner[:, 2 * u :]
-            past += self.bias
-            candidate = gates[:, 2 * u :]
-            candidate += r * past
+            both += 0.5
+            past += bias
+            if trace is not None:
+                kept = h, z.copy(), r.copy(), past.copy()
+            past *= r
+            candidate += past
             np.tanh(candidate, out=candidate)
             following = states[t]
             np.subtract(h, candidate, out=following)
             following *= z
             following += candidate
             if trace is not None:
-                trace.append((h, z.copy(), r.copy(), candidate.copy(), past.copy()))
+                trace.append((*kept, candidate.copy()))
             h = following
         return states
 
@@ -104,20 +111,19 @@ class Reader:
         u = self.units
         grads = [np.zeros_like(w) for w in self.weights]
         carried = np.zeros_like(slope[0])
-        turned = self.state.T.copy()
         for t in range(len(trace) - 1, -1, -1):
-            h, z, r, candidate, past = trace[t]
+            h, z, r, past, candidate = trace[t]
             d = slope[t] + carried
             dc = d * (1 - z) * (1 - candidate * candidate)
             dz = d * (h - candidate) * z * (1 - z)
             dr = dc * past * r * (1 - r)
-            outer = np.concatenate([dz, dr, dc], axis=1)
-            inner = np.concatenate([dz, dr, dc * r], axis=1)
+            outer = np.concatenate([dz, dr, dc])
+            inner = np.concatenate([dz, dr, dc * r])
             for k in range(3 * u):
-                grads[0][:, k] += np.bincount(symbols[t], outer[:, k], 256)
-            grads[1] += h.T @ inner
-            grads[2] += inner[:, 2 * u :].sum(0)
-            carried = d * z + inner @ turned
+                grads[0][:, k] += np.bincount(symbols[t], outer[k], 256)
+            grads[1] += h @ inner.T
+            grads[2] += inner[2 * u :].sum(1)
+            carried = d * z + self.state @ inner
         return grads
 
 
@@ -139,13 +145,13 @@ class Tagger:
         """Probabilities (steps, n, languages), and the states they come from."""
         forward = self.ahead.read(symbols, traces[0])
         backward = self.behind.read(symbols[::-1], traces[1])[::-1]
-        z = forward @ self.out[:UNITS]
-        z += backward @ self.out[UNITS:]
-        z += self.base
-        z -= z.max(-1, keepdims=True)
+        z = self.out[:UNITS].T @ forward
+        z += self.out[UNITS:].T @ backward
+        z += self.base[:, None]
+        z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(-1, keepdims=True)
-        return z, forward, backward
+        z /= z.sum(1, keepdims=True)
+        return z.swapaxes(1, 2), forward, backward
 
     def gradients(self, symbols: np.ndarray, filled: np.ndarray, language: np.ndarray):
         """Gradients of the mean cross entropy of all filled positions."""
@@ -154,14 +160,14 @@ class Tagger:
         p[:, np.arange(len(language)), language] -= 1
         p *= (np.arange(len(symbols))[:, None] < filled)[..., None]
         p /= filled.sum()
-        flat = p.reshape(-1, p.shape[-1])
+        slopes = p.swapaxes(1, 2)
         sides = [
-            (self.ahead, symbols, traces[0], p @ self.out[:UNITS].T),
-            (self.behind, symbols[::-1], traces[1], (p @ self.out[UNITS:].T)[::-1]),
+            (self.ahead, symbols, traces[0], self.out[:UNITS] @ slopes),
+            (self.behind, symbols[::-1], traces[1], (self.out[UNITS:] @ slopes)[::-1]),
         ]
-        out = [s.reshape(-1, UNITS).T @ flat for s in (forward, backward)]
+        out = [(s @ p).sum(0) for s in (forward, backward)]
         grads = [g for reader, *rest in sides for g in reader.back(*rest)]
-        return [*grads, np.concatenate(out), flat.sum(0)]
+        return [*grads, np.concatenate(out), p.sum((0, 1))]
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities of every text, over all its bytes; zero for an empty one."""

@@ -178,6 +178,16 @@ def read_byte_by_byte(reader, symbols):
     return states
 
 
+def test_states_lie_by_windows():
+    """Windows are the last axis, in rows of memory, and each is read as if it were alone."""
+    reader = language.Tagger(["a", "b"]).ahead
+    symbols = np.random.default_rng(3).integers(0, 256, (5, 7)).astype(np.uint8)
+    states = reader.read(symbols)
+    assert states.shape == (5, reader.units, 7) and states.flags.c_contiguous
+    wanted = [read_byte_by_byte(reader, column) for column in symbols.T.tolist()]
+    np.testing.assert_allclose(states, np.transpose(wanted, (1, 2, 0)), atol=1e-5)
+
+
 def test_pooled_labels_equal_a_loop_over_bytes():
     """Every byte of every window is labelled, and a text's probabilities are their mean."""
     model = language.Tagger(["a", "b", "c"])
