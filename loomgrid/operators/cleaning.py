@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from loomgrid.config import OBSERVED, PRICES, TIME_ZONE, SeriesSpec
 from loomgrid.functions import calendar, clock
 from loomgrid.functions.scaling import clean
-from loomgrid.operators.chunks import chunk_keys
 from loomgrid.schemas import SILVER_COLUMNS
 
 
@@ -54,19 +53,17 @@ def align_daylight_saving(
     and 3 share slot 2 (``dst_merge``). Days with any other record count keep
     their hours up to 24. A null neighbour gives a null mean.
     """
-    rows = records.withColumn(
-        "chunk",
-        clock.chunk_of_block(clock.block_of_date(F.col("fecha"), spec), spec),
-    )
-    day = Window.partitionBy(*chunk_keys(spec), "fecha")
+    # one order for all, which is that of ``last_record``, so that a day is sorted once
+    ordered = Window.partitionBy(*spec.keys, "fecha").orderBy("hora")
+    day = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     prices = F.struct(*PRICES)
     hora = F.col("hora")
-    rows = rows.select(
+    rows = records.select(
         "*",
         calendar.dst_kind(F.col("fecha"), tz).alias("_kind"),
         F.count("*").over(day).alias("_n"),
         F.max("hora").over(day).alias("_max"),
-        F.lag(prices).over(day.orderBy("hora")).alias("_before"),
+        F.lag(prices).over(ordered).alias("_before"),
     )
     short = (F.col("_kind") == "spring") & (F.col("_n") == 23) & (F.col("_max") == 23)
     long = (F.col("_kind") == "fall") & (F.col("_n") == 25) & (F.col("_max") == 25)
@@ -104,12 +101,15 @@ def records_to_hourly(
     market: str = "MDA",
     tz: str = TIME_ZONE,
     ingested_at: Column | None = None,
+    by_day: bool = False,
 ) -> DataFrame:
     """Observed silver rows (``ok``, ``dst_fill``, ``dst_merge``) from price records.
 
     ``order`` names the arrival order of the records; the last of several records
     of one hour wins. ``sistema`` and ``market`` fill the columns of that name
-    where the records do not carry them.
+    where the records do not carry them. ``by_day`` is for keys whose days hold few
+    records, repeats included: these are shuffled and sorted once, by day, where
+    else repeats are combined first.
     """
     clock.require_utc(records)
     labels = {"sistema": sistema, "market": market}
@@ -129,6 +129,8 @@ def records_to_hourly(
         ],
         *[F.col(c) for c in order],
     )
+    if by_day:
+        typed = typed.repartition(*spec.keys, "fecha")
     aligned = align_daylight_saving(last_record(typed, spec, order), spec, tz)
     stamp = F.current_timestamp() if ingested_at is None else ingested_at
     slot = clock.slot_in_block(F.col("fecha"), F.col("hora"), spec)

@@ -175,14 +175,17 @@ def collection_summary(classified: DataFrame) -> DataFrame:
 def envelope_rows(
     envelopes: DataFrame, spec: SeriesSpec, tz: str = TIME_ZONE, ingested_at: Column | None = None
 ) -> DataFrame:
-    """Observed rows of every envelope, each envelope cleaned on its own."""
+    """Observed rows of every envelope, each envelope cleaned on its own.
+
+    The records of a day are those of one body, so they are shuffled and sorted once.
+    """
     parsed = parse_bodies(
         envelopes.select("path", "sistema", F.col("proceso").alias("market"), "body")
     )
     records = explode_records(parsed, ["path", "sistema", "market"])
     per_body = replace(spec, keys=("path", *spec.keys))
     return records_to_hourly(
-        records, per_body, ["item_pos", "value_pos"], tz=tz, ingested_at=ingested_at
+        records, per_body, ["item_pos", "value_pos"], tz=tz, ingested_at=ingested_at, by_day=True
     )
 
 

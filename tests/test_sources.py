@@ -275,3 +275,13 @@ def test_stream_picks_up_new_envelopes(spark, tmp_path):
     run()
     assert silver.read_silver(spark, path).count() == 72
     assert seen == [0, 1]
+
+
+def test_records_of_a_body_are_shuffled_and_sorted_once(spark):
+    again = body("A", "2024-01-05", [1, 2]).replace("1001.5", "7.0")
+    rows = [("a", "SIN", "MDA", body("A", "2024-01-05", [2, 1])), ("b", "SIN", "MDA", again)]
+    frame = spark.createDataFrame(rows, "path string, sistema string, proceso string, body string")
+    out = bronze.envelope_rows(frame, HOURLY)
+    assert sorted((r["node"], r["hora"]) for r in out.collect()) == [("A", 1), ("A", 1), ("A", 2), ("A", 2)]
+    plan = bronze.envelope_rows(frame, HOURLY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count(" Sort [") == 1

@@ -1273,9 +1273,9 @@ def envelope_observed(spark, sf):
         F.lit("MDA").alias("proceso"),
         "body",
     )
-    rows = bronze.envelope_rows(envelopes, HOURLY)
-    unique = cleaning.first_observed(rows, HOURLY, ["path"])
-    return unique.select("node", "ts_local", "pml", "quality", "sistema", "market")
+    columns = ["node", "ts_local", "pml", "quality", "sistema", "market"]
+    rows = bronze.envelope_rows(envelopes, HOURLY).select("path", *columns)
+    return cleaning.first_observed(rows, HOURLY, ["path"]).select(*columns)
 
 
 @query
