@@ -34,7 +34,7 @@ def block_partials(silver: DataFrame, spec: SeriesSpec, steps: bool = False) ->
         *[f"max({c}) AS {c}" for c in carry],
         "count(*) AS n_rows",
         "count(pml) AS n",
-        f"sum(CAST(round(pml * {UNIT}) AS BIGINT)) AS s",
+        f"sum(CAST(round(pml * {UNIT}) AS DECIMAL(28, 0))) AS s",
         "var_pop(pml) * count(pml) AS m2",
         "max(pml) AS top",
         *[f"count({c}) AS n_{c}" for c in COMPONENTS],
