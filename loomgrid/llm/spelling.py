@@ -10,7 +10,8 @@ How a group is scanned: its words are sorted by what is left of them, and the co
 adjacent ones (LCPs) are taken once. Words that share a prefix form a range of the sorted list, and two
 ranges share the row of the edit matrix, of which only the band of one edit beside the diagonal is
 kept. A step gives every pair of ranges its next row for all words in both at once; pairs of ranges whose
-band has passed one edit are skipped with everything under them. All ranges of a level step together.
+band has passed one edit are skipped with everything under them. Ranges of a level step together, ``PAIRS``
+pairs at a time, deepest first, so that memory does not grow with the pairs of a tile.
 
 A word's form is its near word of largest count if that is ``TIMES`` as large as its own. Roots are found
 by doubling: counts grow by that factor along a chain, so that few rounds reach the end of each.
@@ -22,6 +23,7 @@ they occur; without words the result is empty; other columns play no part.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,10 +32,11 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.session import stage
+from loomgrid.session import bound_batches, stage
 
 LEAST_LETTERS = 6
 LEAST_COUNT = 5
@@ -42,7 +45,10 @@ SLIP = 199
 TILE = 16_384
 BUFFER = 40_000
 CELLS = 4_000_000
+PAIRS = 500_000
 STORE = 200_000
+STORE_LETTERS = 16_000_000
+TILE_KEY = ("m", "side", "half", "a", "b")
 RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 
 
@@ -67,6 +73,7 @@ def runs_of(doc_id: int | None, text: str | None) -> Iterator[tuple[bytes, int]]
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of batches of (id, text), words added up as far as memory allows."""
     total: dict[bytes, int] = {}
+    letters = 0
 
     def emitted() -> pa.RecordBatch:
         arrays = [pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())]
@@ -75,10 +82,14 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, text in zip(batch["id"], batch["text"]):
             for word, n in runs_of(doc_id.as_py(), text.as_py()):
-                total[word] = total.get(word, 0) + n
-            if len(total) >= STORE:
+                if word in total:
+                    total[word] += n
+                else:
+                    total[word] = n
+                    letters += len(word)
+            if len(total) >= STORE or letters >= STORE_LETTERS:
                 yield emitted()
-                total = {}
+                total, letters = {}, 0
     if total:
         yield emitted()
 
@@ -103,10 +114,15 @@ def halves(words: DataFrame) -> DataFrame:
 
 
 def tiled(rows: DataFrame, tile: int) -> DataFrame:
-    """The rows of groups with their tile (a, b); those of a large group in every pair of its blocks."""
+    """The rows of groups with their tile (a, b); those of a large group in every pair of its blocks.
+
+    A block has about ``tile`` words at most, or ``CELLS`` letters of long ones.
+    """
     group = ["m", "side", "half"]
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("size")).where(F.col("size") > tile)
-    sizes = stage(sizes.select(*group, F.ceil(F.col("size") / tile).cast("int").alias("blocks")), "sizes")
+    # at least one word, so that blocks are no more than the words
+    most = F.least(F.lit(tile), F.greatest(F.lit(1), F.floor(F.lit(CELLS) / F.col("m"))))
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("size")).where(F.col("size") > most)
+    sizes = stage(sizes.select(*group, F.ceil(F.col("size") / most).cast("int").alias("blocks")), "sizes")
     rows = rows.join(sizes, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rest"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -121,7 +137,8 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_pairs(letters: np.ndarray, length: np.ndarray, run: np.ndarray, shorter: np.ndarray):
-    """Pairs of rows of one run whose words are one edit apart, and whether they share ``shorter`` letters.
+    """Pairs of rows of one run whose words are one edit apart, and whether they share ``shorter`` letters; some
+    at a time.
 
     ``letters`` are the rows, sorted within runs and padded with zeros; of a run all words have ``shorter``
     letters or one more, and pairs of two longer ones are left out.
@@ -130,23 +147,30 @@ def near_pairs(letters: np.ndarray, length: np.ndarray, run: np.ndarray, shorter
     same = letters[1:] == letters[:-1]
     lcp = np.where(same.all(axis=1), width, same.argmin(axis=1))
     lcp = np.concatenate([[-1], np.where(run[1:] == run[:-1], lcp, -1)])
-    start = np.flatnonzero(lcp < 0)
+    # two depths are in use at a time, and words may be long
+    starts = functools.lru_cache(2)(lambda depth: np.flatnonzero(lcp < depth).astype(np.int32))
     # pairs of ranges (u <= v) with the band of their row: on, left of and above the diagonal
-    u = v = np.arange(len(start))
-    on = np.zeros(len(u), np.int8)
-    left = above = np.full(len(u), 2, np.int8)
-    found = []
-    for depth in range(width):
-        ends = np.append(start[1:], n)
+    u = np.arange(len(starts(0)), dtype=np.int32)
+    far = np.full(len(u), 2, np.int8)
+    waiting = [(0, u, u, np.zeros(len(u), np.int8), far, far)]
+    while waiting:
+        depth, *pairs = waiting.pop()
+        u, v, on, left, above = pairs
+        start, below = starts(depth), starts(depth + 1)
+        size = np.diff(start, append=n)
+        first = np.searchsorted(below, start)
+        many = np.diff(first, append=len(below))
         done = shorter[start[u]] == depth
+        made = np.cumsum(np.where(done, size[u] * size[v], many[u] * many[v]))
+        cuts = np.flatnonzero(np.diff(made // PAIRS)) + 1
+        if len(cuts) and made[-1] > 2 * PAIRS:
+            waiting += [(depth, *part) for part in zip(*(np.split(x, cuts) for x in pairs))]
+            continue
         if done.any():
-            found.append(finished(letters, length, start, ends, depth, u[done], v[done], on[done], left[done], above[done]))
-            u, v, on, left, above = (x[~done] for x in (u, v, on, left, above))
+            yield finished(letters, length, start, start + size, depth, u[done], v[done], on[done], left[done], above[done])
+            u, v, on, left, above = (x[~done] for x in pairs)
         if not len(u):
-            break
-        below = np.flatnonzero(lcp <= depth)
-        first = np.searchsorted(below, start)
-        many = np.searchsorted(below, ends) - first
+            continue
         place, k = spread(many[u] * many[v])
         i, j = np.divmod(k, many[v[place]])
         cu, cv = first[u[place]] + i, first[v[place]] + j
@@ -160,12 +184,8 @@ def near_pairs(letters: np.ndarray, length: np.ndarray, run: np.ndarray, shorter
         next_above = np.minimum(on + 1, above + (letters[q, back] != b))
         on = np.minimum(on + (a != b), np.minimum(next_left, next_above) + 1)
         alive = np.minimum(on, np.minimum(next_left, next_above)) <= 1
-        u, v, start = cu[alive], cv[alive], below
-        on, left, above = (np.minimum(x[alive], 2).astype(np.int8) for x in (on, next_left, next_above))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(bool)
-    return tuple(np.concatenate(x) for x in zip(*found))
+        band = (np.minimum(x[alive], 2).astype(np.int8) for x in (on, next_left, next_above))
+        waiting.append((depth + 1, cu[alive].astype(np.int32), cv[alive].astype(np.int32), *band))
 
 
 def finished(letters, length, start, ends, depth, u, v, on, left, above):
@@ -197,70 +217,81 @@ def matrix(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return letters, length
 
 
-def told(table: pa.Table) -> pa.RecordBatch:
-    """(word, n_near, less, form) of the words of whole tiles that have near ones."""
+def begins(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Whether a tile begins at every row, as one does at the first."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for c in TILE_KEY:
+        new[1:] |= np.asarray(pc.not_equal(rows[c][1:], rows[c][:-1]), bool)
+    return new
+
+
+def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(word, n_near, less, form) of the words of whole tiles that have near ones, in parts to be added up."""
+    m, side = table["m"].to_numpy(), table["side"].to_numpy()
+    run = np.cumsum(begins(table)) - 1
+    short = pc.binary_length(table["rest"]).to_numpy() == np.where(side == 0, m - m // 2, m // 2)
+    # a pair has one of the shorter words at least
+    paired = ((np.bincount(run) > 1) & (np.bincount(run, short) > 0))[run]
+    table, run = table.filter(pa.array(paired)), run[paired]
+    if not len(table):
+        return
     m, side, a, b, block, n = (table[c].to_numpy() for c in ("m", "side", "a", "b", "block", "n"))
     half, rest = table["half"].to_pylist(), table["rest"].combine_chunks()
     letters, length = matrix(rest)
-    new = np.zeros(len(m), bool)
-    new[:1] = True
-    for x in (m, side, a, b):
-        new[1:] |= x[1:] != x[:-1]
-    new[1:] |= [x != y for x, y in zip(half[1:], half[:-1])]
+
+    def added(r: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        r, s = np.concatenate([r, s]), np.concatenate([s, r])
+        own = np.unique(r)
+        used = {i: half[i] + x if side[i] == 0 else x + half[i] for i, x in zip(own.tolist(), rest.take(own).to_pylist())}
+        rank = np.zeros(len(m), np.int64)
+        rank[sorted(used, key=used.__getitem__)] = np.arange(len(used))
+        order = np.lexsort((rank[s], -n[s], r))
+        first = order[np.searchsorted(r[order], own)]
+        best = s[first]
+        columns = [
+            pa.array([used[i] for i in own.tolist()], pa.binary()),
+            pa.array(np.bincount(np.searchsorted(own, r), minlength=len(own)), pa.int64()),
+            pa.array(-n[best], pa.int64()),
+            pa.array([used[i] for i in best.tolist()], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["word", "n_near", "less", "form"])
+
+    found, size = [], 0
     shorter = np.where(side == 0, m - m // 2, m // 2)
-    r, s, alike = near_pairs(letters, length, np.cumsum(new), shorter)
-    # a pair that shares both halves is found in both groups and told in the first
-    keep = ~((side[r] == 1) & alike) & ((a[r] == b[r]) | (block[r] != block[s]))
-    r, s = np.concatenate([r[keep], s[keep]]), np.concatenate([s[keep], r[keep]])
-    own = np.unique(r)
-    used = {i: half[i] + x if side[i] == 0 else x + half[i] for i, x in zip(own.tolist(), rest.take(own).to_pylist())}
-    rank = np.zeros(len(m), np.int64)
-    rank[sorted(used, key=used.__getitem__)] = np.arange(len(used))
-    order = np.lexsort((rank[s], -n[s], r))
-    first = order[np.searchsorted(r[order], own)]
-    best = s[first]
-    columns = [
-        pa.array([used[i] for i in own.tolist()], pa.binary()),
-        pa.array(np.bincount(np.searchsorted(own, r), minlength=len(own)), pa.int64()),
-        pa.array(-n[best], pa.int64()),
-        pa.array([used[i] for i in best.tolist()], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["word", "n_near", "less", "form"])
+    for r, s, alike in near_pairs(letters, length, run, shorter):
+        # a pair that shares both halves is found in both groups and told in the first
+        keep = ~((side[r] == 1) & alike) & ((a[r] == b[r]) | (block[r] != block[s]))
+        found.append((r[keep], s[keep]))
+        size += len(found[-1][0])
+        if size >= PAIRS:
+            yield added(*(np.concatenate(x) for x in zip(*found)))
+            found, size = [], 0
+    if size:
+        yield added(*(np.concatenate(x) for x in zip(*found)))
 
 
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Near words of rows sorted by (m, side, half, a, b, rest), some whole tiles at a time."""
     kept: list[pa.RecordBatch] = []
     size = 0
-
-    def full(batch: pa.RecordBatch) -> bool:
-        return len(batch) and size >= min(BUFFER, CELLS / max(1, batch["m"][-1].as_py()))
-
-    def cut(table: pa.Table) -> int:
-        """First row of the last tile, which may go on in the next batch."""
-        last = [table[c][-1] for c in ("m", "side", "half", "a", "b")]
-        low, high = 0, len(table) - 1
-        while low < high:  # rows are sorted, so those of the last tile are the last
-            middle = (low + high) // 2
-            if [table[c][middle] for c in ("m", "side", "half", "a", "b")] == last:
-                high = middle
-            else:
-                low = middle + 1
-        return low
-
     for batch in batches:
-        for at in range(0, len(batch), BUFFER):
-            kept.append(batch.slice(at, BUFFER))
+        new = begins(batch)
+        if size and len(batch):  # its first rows may go on with the last tile
+            new[0] = [kept[-1][c][-1] for c in TILE_KEY] != [batch[c][0] for c in TILE_KEY]
+        m = batch["m"].to_numpy()
+        first = np.flatnonzero(new).tolist()
+        at = 0
+        for begin, end in zip(first, [*first[1:], len(batch)]):
+            before = size + begin - at
+            if before and before + end - begin > min(BUFFER, CELLS / m[begin]):
+                yield from told(pa.Table.from_batches([*kept, batch.slice(at, begin - at)]))
+                kept, size, at = [], 0, begin
+        if at < len(batch):
+            kept.append(batch.slice(at))
             size += len(kept[-1])
-            if full(kept[-1]):
-                table = pa.Table.from_batches(kept)
-                end = cut(table)
-                if end:
-                    yield told(table.slice(0, end))
-                    kept = table.slice(end).to_batches()
-                    size = len(table) - end
     if size:
-        yield told(pa.Table.from_batches(kept))
+        yield from told(pa.Table.from_batches(kept))
 
 
 def near_words(words: DataFrame, tile: int = TILE) -> DataFrame:
@@ -287,6 +318,8 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of all words of the texts."""
+    # texts and words may be long: what goes to Python at once is bounded by bytes
+    bound_batches(docs.sparkSession)
     words = stage(vocabulary(docs, doc_id, text), "words")
     found = words.join(near_words(words, tile), "word", "left")
     large = F.col("form_n") >= TIMES * F.col("n")
